@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashtide.functions.categories import DEFAULT_RULES, StreamRule, stream_of
+from cashtide.functions.clock import utc_wall_clock
 from cashtide.settings import Settings
 
 
@@ -26,8 +27,7 @@ def naive_utc(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         return F.col(column)
     if isinstance(kind, T.TimestampType):
-        zone = F.current_timezone()
-        return F.convert_timezone(zone, F.lit("UTC"), F.col(column).cast("timestamp_ntz"))
+        return utc_wall_clock(F.col(column))
     raise ValueError(f"{column!r} did not parse as a timestamp (it is {kind.simpleString()})")
 
 

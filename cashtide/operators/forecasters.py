@@ -209,25 +209,37 @@ def with_outlier_positions(arrays: DataFrame, outliers: DataFrame) -> DataFrame:
     )
 
 
-def croston_rates(points: DataFrame, n_months: Column) -> DataFrame:
-    """Croston rate per series from its demand months only: ``(series_id, idx, y)`` rows.
+def croston_rates(demand: DataFrame, n_months: Column) -> DataFrame:
+    """Croston rate and spread per series from its demand months only: ``(series_id, idx, y)``.
 
     Sparse series never get their empty months materialised.
     """
     ordered = F.array_sort(F.collect_list(F.struct("idx", "y")))
+    points, rate = F.col("points"), F.col("rate")
     return (
-        points.filter(F.col("y") > 0)
-        .groupBy("series_id")
+        demand.groupBy("series_id")
         .agg(ordered.alias("points"))
         .withColumn("n_months", n_months)
+        .withColumn("rate", folds.croston_rate(points, F.col("n_months")))
         .select(
             "series_id",
-            F.size("points").alias("demand_months"),
-            folds.croston_rate(F.col("points"), F.col("n_months")).alias("rate"),
+            F.size(points).alias("demand_months"),
+            "rate",
+            folds.level_spread(F.transform(points, lambda p: p["y"]), rate).alias("spread"),
         )
     )
 
 
+def with_bounds(rates: DataFrame) -> DataFrame:
+    """Adds the 80 and 95 % bounds of a flat rate."""
+    rate, spread = F.col("rate"), F.col("spread")
+    band = lambda z: (F.greatest(rate - F.lit(z) * spread, F.lit(0.0)), rate + F.lit(z) * spread)
+    (lo80, hi80), (lo95, hi95) = band(Z80), band(Z95)
+    return rates.select(
+        "*", lo80.alias("lo80"), hi80.alias("hi80"), lo95.alias("lo95"), hi95.alias("hi95")
+    )
+
+
 def recent_floor(ys: Column, months: int = 18, share: float = 0.25) -> Column:
     """A share of the median positive value of the last months; 0 when there is none."""
     tail = F.slice(ys, F.greatest(F.size(ys) - months, F.lit(0)) + 1, F.lit(months))

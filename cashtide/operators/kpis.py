@@ -7,7 +7,7 @@ same functions serve one total and any number of series.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 TOTAL = "total"
 
 
-def combine_streams(long: DataFrame, groups: Mapping[str, str], value: str = "y") -> DataFrame:
+def combine_streams(
+    long: DataFrame, groups: Mapping[str, str], values: Sequence[str] = ("y",)
+) -> DataFrame:
     """Adds streams up into display groups; streams not named keep their own name."""
     shown = F.col("series_id")
     for stream, group in groups.items():
@@ -23,15 +25,14 @@ def combine_streams(long: DataFrame, groups: Mapping[str, str], value: str = "y"
     return (
         long.withColumn("series_id", shown)
         .groupBy("series_id", "month")
-        .agg(F.round(F.sum(value), 2).alias(value))
+        .agg(*[F.round(F.sum(v), 2).alias(v) for v in values])
     )
 
 
-def total_series(long: DataFrame, value: str = "y") -> DataFrame:
+def total_series(long: DataFrame, values: Sequence[str] = ("y",)) -> DataFrame:
     """All series added up per month, as one series named 'total'."""
-    return long.groupBy("month").agg(F.round(F.sum(value), 2).alias(value)).select(
-        F.lit(TOTAL).alias("series_id"), "month", value
-    )
+    sums = long.groupBy("month").agg(*[F.round(F.sum(v), 2).alias(v) for v in values])
+    return sums.select(F.lit(TOTAL).alias("series_id"), "month", *values)
 
 
 def timeline(history: DataFrame, forecast: DataFrame) -> DataFrame:

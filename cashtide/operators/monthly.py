@@ -71,6 +71,22 @@ def last_month(sums: DataFrame, settings: Settings) -> Column:
     return F.least(F.lit(settings.last_complete_month), seen)
 
 
+def calendar_length(sums: DataFrame, settings: Settings) -> Column:
+    """Number of months in the calendar all series share."""
+    return months_between(F.lit(settings.series_start), last_month(sums, settings)) + 1
+
+
+def demand_months(sums: DataFrame, settings: Settings) -> DataFrame:
+    """Months with revenue as ``(series_id, idx, y)``, without the empty ones."""
+    return sums.filter(
+        (F.col("month") <= F.lit(settings.last_complete_month)) & (F.col("y") > 0)
+    ).select(
+        "series_id",
+        months_between(F.lit(settings.series_start), F.col("month")).alias("idx"),
+        F.col("y").cast("double").alias("y"),
+    )
+
+
 def series_arrays(
     sums: DataFrame,
     settings: Settings,

@@ -43,15 +43,22 @@ def forecast_by_model(
     )
 
 
+def _complete_sums() -> dict[str, Column]:
+    """Sums of point and bounds; NULL where a series lacks the value, never a partial sum."""
+    return {
+        name: F.when(F.count(name) == F.count("*"), F.round(F.sum(name), 2))
+        for name in ("yhat", *BOUNDS)
+    }
+
+
 def total_forecast(forecast: DataFrame) -> DataFrame:
     """Bottom-up total: points and bounds of all series added per month.
 
     Partial aggregation leaves one row per month and task, however many series there are.
     """
-    sums = {name: F.round(F.sum(name), 2) for name in ("yhat", *BOUNDS)}
     return (
         forecast.groupBy("step", "month")
-        .agg(*[column.alias(name) for name, column in sums.items()])
+        .agg(*[column.alias(name) for name, column in _complete_sums().items()])
         .select(
             "step",
             "month",
@@ -73,10 +80,9 @@ def forecast_table(forecast: DataFrame, streams: Sequence[str]) -> DataFrame:
         F.round(F.sum(F.when(F.col("series_id") == s, F.col("yhat"))), 2).alias(s)
         for s in streams
     ]
-    sums = {name: F.round(F.sum(name), 2) for name in ("yhat", *BOUNDS)}
     return (
         forecast.groupBy("month")
-        .agg(*per_stream, *[column.alias(name) for name, column in sums.items()])
+        .agg(*per_stream, *[column.alias(name) for name, column in _complete_sums().items()])
         .select(
             "month",
             *streams,

@@ -52,12 +52,17 @@ def series_profile(long: DataFrame) -> DataFrame:
     )
 
 
-def sparsity_route(long: DataFrame, sparse_below: float = SPARSE_BELOW) -> DataFrame:
-    """Share of non-zero months; sparse series go to Croston, the others to the level model."""
-    share = F.count_if(F.col("y") > 0) / F.count("*")
+def sparsity_route(
+    demand: DataFrame, n_months: Column, sparse_below: float = SPARSE_BELOW
+) -> DataFrame:
+    """Share of non-zero months; sparse series go to Croston, the others to the level model.
+
+    ``demand`` holds the months with revenue only, so empty months are never materialised.
+    """
     return (
-        long.groupBy("series_id")
-        .agg(share.alias("nonzero_frac"))
+        demand.groupBy("series_id")
+        .agg(F.count("*").alias("nonzero_months"))
+        .withColumn("nonzero_frac", F.col("nonzero_months") / n_months)
         .withColumn(
             "route", F.when(F.col("nonzero_frac") >= sparse_below, "level").otherwise("croston")
         )

@@ -100,7 +100,7 @@ def charge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ).otherwise(F.array().cast("array<struct<created:bigint>>"))
     invoice_id = F.concat(F.lit("in_"), key.cast("string"))
-    shape = F.struct(
+    fields = [
         key.cast("string").alias("id"),
         epoch.alias("created"),
         minor.alias("amount"),
@@ -130,14 +130,49 @@ def charge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("x"),
         ).alias("metadata"),
         F.concat(F.lit("person-"), payer.cast("string")).alias("customer"),
-    )
-    plain = F.to_json(F.struct(shape.alias("c"), invoice_id.alias("invoice")))
+    ]
     # Even keys carry the invoice as an id, odd keys as an object.
-    as_object = F.to_json(
-        F.struct(shape.alias("c"), F.struct(invoice_id.alias("id")).alias("invoice"))
+    as_id = F.to_json(F.struct(*fields, invoice_id.alias("invoice")))
+    as_object = F.to_json(F.struct(*fields, F.struct(invoice_id.alias("id")).alias("invoice")))
+    return table(spark, sf_dir, "orders").select(
+        F.when(key % 2 == 0, as_id).otherwise(as_object).alias("payload")
     )
+
+
+def raw_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charges as text, the way an extract arrives, with every kind of defect in it."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"),
+        F.when(key % 113 == 0, F.lit(None))
+        .otherwise(_pick(F.col("o_orderstatus"), {"F": "Paid", "O": "Pending", "P": "Failed"}))
+        .alias("status"),
+        F.when(key % 97 == 0, "n/a")
+        .when(key % 101 == 0, F.lit(None))
+        .otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+        .alias("amount"),
+        order_description().alias("description"),
+        F.when(key % 103 == 0, "not a date")
+        .when(key % 107 == 0, "2099-01-01 00:00:00")
+        .when(key % 109 == 0, F.lit(None))
+        .otherwise(F.col("o_orderdate").cast("string"))
+        .alias("created"),
+    )
+
+
+def person_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract that also carries columns about persons."""
+    payer = F.col("o_custkey").cast("string")
     return table(spark, sf_dir, "orders").select(
-        F.when(key % 2 == 0, plain).otherwise(as_object).alias("payload")
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_orderdate").cast("string").alias("Created date (UTC)"),
+        F.col("o_totalprice").alias("Amount"),
+        order_currency().alias("Currency"),
+        order_description().alias("Description"),
+        F.concat(F.lit("p"), payer, F.lit("@example.org")).alias("Customer Email"),
+        payer.alias("Customer ID"),
+        F.concat(F.lit("card-"), payer).alias("Card ID"),
+        F.lit("note").alias("Customer Description"),
     )
 
 

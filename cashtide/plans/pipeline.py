@@ -1,0 +1,193 @@
+"""The whole run: read, validate, clean, monthly series, models, selection, forecast, log.
+
+The only materialised tables are small: the monthly sums, the flags and breaks, the backtest
+results and the published tables. Raw charges are scanned twice, once by the quality gate and once
+by the monthly aggregation.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cashtide.functions.categories import DEFAULT_RULES, StreamRule
+from cashtide.operators import backtest, contracts, forecasters, iterative, monthly, outlook
+from cashtide.operators import profiles, robust, scores, selection
+from cashtide.operators.cleaning import clean_charges
+from cashtide.settings import Settings
+from cashtide.sources import run_log
+
+PIPELINE_VERSION = "1"
+
+
+@dataclass(frozen=True)
+class PublishedRun:
+    """What a run leaves behind."""
+
+    run_id: str
+    skipped: bool
+    rows_in: int = 0
+    rows_clean: int = 0
+    months: int = 0
+
+
+def _materialise(df: DataFrame, root: str, name: str, run_id: str) -> DataFrame:
+    """Write a table of this run and go on from the written copy, which also cuts the lineage."""
+    path = run_log.write_versioned(df, root, name, run_id)
+    return df.sparkSession.read.parquet(path)
+
+
+def load_monthly(
+    charges: DataFrame,
+    settings: Settings,
+    root: str,
+    run_id: str,
+    rules: tuple[StreamRule, ...] = DEFAULT_RULES,
+) -> tuple[DataFrame, int, int]:
+    """Validate, clean and aggregate; writes the monthly series and the category audit.
+
+    Returns the written long series, the number of raw rows and of rows kept.
+    """
+    rows_in = contracts.enforce(charges, contracts.charge_rules(settings.as_of))
+    cleaned = clean_charges(charges, settings, rules)
+    contracts.require_rows(cleaned)
+    summary = _materialise(profiles.category_summary(cleaned), root, "category_summary", run_id)
+    rows_clean = summary.agg(F.sum("transactions")).first()[0]
+    sums = monthly.monthly_sums(cleaned, settings)
+    long = monthly.fill_calendar(sums, settings, streams=settings.streams)
+    return _materialise(long, root, "monthly_long", run_id), rows_in, rows_clean
+
+
+def rebuild_arrays(long: DataFrame) -> DataFrame:
+    """Series arrays from a stored long series that has every month."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "y")))
+    return long.groupBy("series_id").agg(
+        F.min("month").alias("first_month"), F.transform(ordered, lambda p: p["y"]).alias("ys")
+    )
+
+
+def explore(arrays: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(outlier months, break months): Hampel flags on the STL remainder, and PELT breaks."""
+    flagged = robust.hampel_flags(
+        iterative.stl(arrays, settings), value="remainder", n_sigma=robust.PIPELINE_SIGMA
+    )
+    outliers = robust.keep_strongest(flagged, value="remainder").filter("outlier")
+    return outliers.select("series_id", "month"), iterative.structural_breaks(arrays)
+
+
+def backtest_all(
+    arrays: DataFrame, settings: Settings, first_breaks: DataFrame | None = None
+) -> DataFrame:
+    """Backtests of every model a series may be given, and of the benchmark."""
+    closed_form = backtest.backtest(
+        arrays, ("croston", "level", selection.BENCHMARK), settings
+    )
+    return iterative.ensemble_backtest(arrays, settings, first_breaks).unionByName(closed_form)
+
+
+def evaluate(results: DataFrame, rank=None) -> tuple[DataFrame, DataFrame]:
+    """(scores of all models, evaluation table of the selected ones with diagnostics)."""
+    scored = scores.score(results)
+    if rank is None:
+        rank = selection.preference(
+            F.col("series_id"), F.col("model"), selection.DEFAULT_PAIRS
+        )
+    chosen = selection.select_model(scored, rank)
+    residuals = scores.residual_arrays(results)
+    table = selection.with_diagnostics(
+        selection.evaluation(scored, chosen),
+        scores.ljung_box_p(scores.ljung_box(residuals)),
+        scores.normality(residuals),
+    )
+    return scored, table
+
+
+def forecast_selected(
+    arrays: DataFrame,
+    chosen: DataFrame,
+    horizon: int,
+    settings: Settings,
+    first_breaks: DataFrame | None = None,
+) -> DataFrame:
+    """Forecast of every series by the model selected for it."""
+    with_ensemble = arrays.join(
+        chosen.filter(F.col("model") == iterative.ENSEMBLE).select("series_id"),
+        "series_id",
+        "left_semi",
+    )
+    others = chosen.filter(F.col("model") != iterative.ENSEMBLE)
+    if "outlier_idx" in with_ensemble.columns:
+        with_ensemble = with_ensemble.drop("outlier_idx")
+    return outlook.forecast_by_model(arrays, others, horizon, settings).unionByName(
+        iterative.ensemble_forecast(with_ensemble, horizon, settings, first_breaks)
+    )
+
+
+def run(
+    charges: DataFrame,
+    settings: Settings,
+    root: str,
+    code_version: str,
+    input_source: str = "charges",
+    run_id: str | None = None,
+    force: bool = False,
+    rules: tuple[StreamRule, ...] = DEFAULT_RULES,
+) -> PublishedRun:
+    """A full run that publishes its tables below ``root``.
+
+    It is skipped when input and code equal those of the newest run. The regression gate comes
+    before any forecast is published; a blocked run leaves the newest forecast in place.
+    """
+    spark = charges.sparkSession
+    run_id = run_id or run_log.new_run_id()
+    log = f"{root}/runs"
+    fingerprint = run_log.fingerprint_text(charges)
+    if not force and run_log.unchanged(run_log.last_run(spark, log), fingerprint, code_version):
+        return PublishedRun(run_id, skipped=True)
+
+    long, rows_in, rows_clean = load_monthly(charges, settings, root, run_id, rules)
+    arrays = rebuild_arrays(long)
+    outliers, breaks = explore(arrays, settings)
+    outliers = _materialise(outliers, root, "outliers", run_id)
+    breaks = _materialise(breaks, root, "breaks", run_id)
+    # The step regressor is used for the recurring stream only.
+    first_breaks = robust.first_break(breaks.filter(F.col("series_id") == "recurring"))
+
+    results = _materialise(
+        backtest_all(arrays, settings, first_breaks), root, "backtests", run_id
+    )
+    _, table = evaluate(results)
+    selection.regression_gate(table, run_log.prior_mase(spark, log)).count()
+    table = _materialise(table, root, "evaluation", run_id)
+
+    marked = forecasters.with_outlier_positions(arrays, outliers)
+    for horizon in (settings.short_horizon, settings.long_horizon):
+        forecast = _materialise(
+            forecast_selected(marked, table, horizon, settings, first_breaks),
+            root,
+            f"forecast_{horizon}m_long",
+            run_id,
+        )
+        wide = outlook.forecast_table(forecast, settings.streams)
+        _materialise(wide, root, f"forecast_{horizon}m", run_id)
+
+    span = long.agg(
+        F.max("month").cast("string").alias("last"), F.max("idx").alias("idx")
+    ).first()
+    record = run_log.run_record(
+        spark,
+        run_id=run_id,
+        code_version=code_version,
+        pipeline_version=PIPELINE_VERSION,
+        input_source=input_source,
+        input_fingerprint=fingerprint,
+        data_through=span["last"],
+        rows_in=rows_in,
+        rows_clean=rows_clean,
+        months=span["idx"] + 1,
+        evaluated=table,
+    )
+    run_log.append_run(record, log)
+    return PublishedRun(run_id, False, rows_in, rows_clean, span["idx"] + 1)
