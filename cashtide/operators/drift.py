@@ -61,7 +61,7 @@ def drift_report(scores: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataF
     judged = scores.withColumn("drifted", F.col("psi") >= threshold)
     summary = judged.agg(
         F.count_if("drifted").alias("drifted_columns"),
-        (F.count_if("drifted") / F.count("*")).alias("drifted_share"),
+        (F.count_if("drifted") / F.nullif(F.count("*"), F.lit(0))).alias("drifted_share"),
     )
     lines = judged.select(F.col("column"), "psi", "drifted").withColumn(
         "threshold", F.lit(threshold)

@@ -280,7 +280,7 @@ def stream_mix(forecast: DataFrame) -> DataFrame:
     return per_stream.select(
         "series_id",
         F.round("_sum", 2).alias("forecast_sum"),
-        (F.col("_sum") / overall * 100).alias("share_pct"),
+        (F.col("_sum") / F.nullif(overall, F.lit(0.0)) * 100).alias("share_pct"),
     )
 
 

@@ -36,7 +36,7 @@ def category_summary(charges: DataFrame) -> DataFrame:
         money(F.col("largest")).alias("largest"),
     )
     overall = per_category.agg(F.sum(F.round("total", 2))).scalar().cast("double")
-    return rounded.withColumn("share_pct", F.round(F.col("total") / overall * 100, 1))
+    return rounded.withColumn("share_pct", F.round(F.col("total") / F.nullif(overall, F.lit(0.0)) * 100, 1))
 
 
 def series_profile(long: DataFrame) -> DataFrame:
@@ -82,14 +82,19 @@ def model_spec(arrays: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def stream_baselines(long: DataFrame, settings: Settings) -> DataFrame:
-    """After the disruption: mean of all months, and mean and median of the positive ones."""
+    """After the disruption: mean of all months, mean and median of the positive ones.
+
+    Revenue is never negative, so both means share one sum.
+    """
     earned = F.when(F.col("y") > 0, F.col("y"))
+    # Money is added exactly, so the means do not depend on the order of the months.
+    exact = F.sum(F.col("y").cast("decimal(18,2)")).cast("double")
     return (
         long.filter(F.col("month") >= F.lit(settings.disruption_end))
         .groupBy("series_id")
         .agg(
-            F.avg("y").alias("mean_all"),
-            F.avg(earned).alias("mean_positive"),
+            (exact / F.count("*")).alias("mean_all"),
+            (exact / F.nullif(F.count(earned), F.lit(0))).alias("mean_positive"),
             F.percentile(earned, 0.5).alias("median_positive"),
         )
     )

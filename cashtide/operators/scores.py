@@ -46,17 +46,22 @@ def residual_arrays(results: DataFrame) -> DataFrame:
 
 
 def autocorrelation(values: Column, lags: Column) -> Column:
-    """Autocorrelations for an array of lags; NULL for a constant array."""
+    """Autocorrelations for an array of lags; NULL for a constant array.
+
+    Deviations that are rounding noise next to the values count as none.
+    """
+    size = folds.total(F.transform(values, lambda v: v * v))
 
     def of(d: Column) -> Column:
-        power = folds.total(F.transform(d, lambda x: x * x))
+        squares = folds.total(F.transform(d, lambda x: x * x))
+        power = folds.let(squares, lambda s: F.when(s > size * 1e-24, s))
 
         def at(lag: Column, total: Column) -> Column:
             kept = F.greatest(F.size(d) - lag, F.lit(0))
             products = F.zip_with(
                 F.slice(d, F.lit(1), kept), F.slice(d, lag + 1, kept), lambda a, b: a * b
             )
-            return folds.total(products) / F.nullif(total, F.lit(0.0))
+            return folds.total(products) / total
 
         return folds.let(power, lambda total: F.transform(lags, lambda lag: at(lag, total)))
 

@@ -92,7 +92,7 @@ def accuracy_grade(table: DataFrame, baselines: DataFrame) -> DataFrame:
         .when(mase < base * 1.5, "near benchmark")
         .otherwise("trajectory only")
     )
-    gap = F.when(beats, base - mase).otherwise(mase - base) / base * 100
+    gap = F.when(beats, base - mase).otherwise(mase - base) / F.nullif(base, F.lit(0.0)) * 100
     average = F.coalesce("mean_positive", F.lit(1.0))
     return table.join(baselines.select("series_id", "mean_positive"), "series_id", "left").select(
         "series_id",

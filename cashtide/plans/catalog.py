@@ -260,7 +260,7 @@ def step_dummy(spark, sf_dir):
     return robust.step_dummy(group_long(spark, sf_dir), group_breaks(spark, sf_dir))
 
 
-@query("series_id step# month@ floor~6 yhat~4")
+@query("series_id step# month@ floor~6 yhat~6")
 def forecast_floor(spark, sf_dir):
     """Drift forecasts lifted to a quarter of the recent median."""
     ys = F.col("ys")
@@ -375,7 +375,7 @@ def stream_kpi(spark, sf_dir):
     return kpis.stream_kpi(display_line(spark, sf_dir))
 
 
-@query("series_id mean_all~4 mean_positive~4 median_positive~3")
+@query("series_id mean_all~8 mean_positive~8 median_positive~3")
 def stream_baselines(spark, sf_dir):
     return profiles.stream_baselines(group_long(spark, sf_dir), DEMO)
 
