@@ -124,11 +124,26 @@ def require_rows(df: DataFrame, message: str = "no rows survived cleaning") -> D
 def request_rules(max_horizon: int = 24, levels: Sequence[int] = (80, 95)) -> list[Rule]:
     """Forecast requests: a whole horizon from 1 to ``max_horizon`` and an offered level."""
     return [
-        Rule("horizon_in_range", "horizon", F.col("horizon").between(1, max_horizon)),
+        Rule(
+            "horizon_in_range",
+            "horizon",
+            F.col("horizon").between(1, max_horizon) & (F.col("horizon") % 1 == 0),
+        ),
         Rule("level_offered", "level", F.col("level").isin(*levels)),
     ]
 
 
+REQUEST_COLUMNS = ("request_id", "horizon", "level")
+
+
+def require_known_columns(requests: DataFrame, allowed: Sequence[str] = REQUEST_COLUMNS) -> DataFrame:
+    """The same requests, or an error naming the fields the contract does not know."""
+    unknown = sorted(set(requests.columns) - set(allowed))
+    if unknown:
+        raise ContractError(f"unknown request fields: {unknown}")
+    return requests
+
+
 def with_default_level(requests: DataFrame, default: int = 80) -> DataFrame:
     """A request without an interval level gets the default one."""
     return requests.withColumn("level", F.coalesce("level", F.lit(default)))

@@ -12,9 +12,16 @@ DRIFT_THRESHOLD = 0.2
 REFERENCE, CURRENT = "reference", "current"
 
 
-def value_counts(samples: DataFrame, columns: Sequence[str], period: str = "period") -> DataFrame:
+def value_counts(
+    samples: DataFrame,
+    columns: Sequence[str],
+    period: str = "period",
+    weight: str | None = None,
+) -> DataFrame:
     """Occurrences per column, value and period. NULLs are left out.
 
+    A row stands for ``weight`` occurrences, so samples may be counted beforehand.
+
     Counting is the only pass over the raw rows, and map-side partial aggregation leaves one row
     per distinct value and task, so a value that holds a third of all rows costs no more than
     any other.
@@ -25,20 +32,27 @@ def value_counts(samples: DataFrame, columns: Sequence[str], period: str = "peri
             for c in columns
         ]
     )
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    seen = lambda label: F.sum(F.when(F.col("period") == label, F.col("times")).otherwise(0))
     return (
-        samples.select(F.col(period).alias("period"), F.inline(cells))
+        samples.select(F.col(period).alias("period"), times.alias("times"), F.inline(cells))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(
-            F.count_if(F.col("period") == REFERENCE).alias("n_ref"),
-            F.count_if(F.col("period") == CURRENT).alias("n_cur"),
+            seen(REFERENCE).alias("n_ref"),
+            seen(CURRENT).alias("n_cur"),
         )
     )
 
 
-def psi(samples: DataFrame, columns: Sequence[str], period: str = "period") -> DataFrame:
+def psi(
+    samples: DataFrame,
+    columns: Sequence[str],
+    period: str = "period",
+    weight: str | None = None,
+) -> DataFrame:
     """Population stability index of every column over the values either sample holds."""
-    counts = value_counts(samples, columns, period)
+    counts = value_counts(samples, columns, period, weight)
     totals = counts.groupBy("column").agg(
         F.sum("n_ref").alias("all_ref"), F.sum("n_cur").alias("all_cur")
     )

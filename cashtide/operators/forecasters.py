@@ -214,11 +214,12 @@ def croston_rates(demand: DataFrame, n_months: Column) -> DataFrame:
 
     Sparse series never get their empty months materialised.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "y")))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("y") > 0, F.struct("idx", "y"))))
     points, rate = F.col("points"), F.col("rate")
     return (
         demand.groupBy("series_id")
         .agg(ordered.alias("points"))
+        .filter(F.size(points) > 0)
         .withColumn("n_months", n_months)
         .withColumn("rate", folds.croston_rate(points, F.col("n_months")))
         .select(

@@ -151,9 +151,15 @@ def member_facts(arrays: DataFrame, settings: Settings) -> DataFrame:
     fitted = theta_fit(
         ets_fit(arima_fit(rows, ("series_id",), 1, settings), 1, settings), 1, settings
     )
+    nonzero = F.size(F.filter("ys", lambda y: y > 0)) / F.size("ys") * 100
+    break_month = (
+        F.col("break_month") if "break_month" in arrays.columns else F.lit(None).cast("date")
+    )
     return fitted.select(
         "series_id",
         F.size("ys").alias("n_train"),
+        F.round(nonzero, 0).cast("int").alias("nonzero_pct"),
+        break_month.alias("break_month"),
         F.col("arima.spec").alias("arima_order"),
         F.round("arima.aicc", 1).alias("arima_aicc"),
         F.col("ets.spec").alias("ets_method"),

@@ -77,13 +77,16 @@ def calendar_length(sums: DataFrame, settings: Settings) -> Column:
 
 
 def demand_months(sums: DataFrame, settings: Settings) -> DataFrame:
-    """Months with revenue as ``(series_id, idx, y)``, without the empty ones."""
-    return sums.filter(
-        (F.col("month") <= F.lit(settings.last_complete_month)) & (F.col("y") > 0)
-    ).select(
+    """Months with revenue as ``(series_id, idx, y)``, the empty ones not filled in.
+
+    Months outside the calendar have no value instead of being filtered out: a filter would move
+    below the aggregation, and :func:`last_month` could no longer share its shuffle.
+    """
+    counts = (F.col("month") <= F.lit(settings.last_complete_month)) & (F.col("y") > 0)
+    return sums.select(
         "series_id",
         months_between(F.lit(settings.series_start), F.col("month")).alias("idx"),
-        F.col("y").cast("double").alias("y"),
+        F.when(counts, F.col("y").cast("double")).alias("y"),
     )
 
 
@@ -98,6 +101,9 @@ def series_arrays(
     ``streams`` names series that must be present even without any charge.
     """
     start = F.lit(settings.series_start)
+    if streams is not None:
+        # Before the last month is taken: both must read the same plan to share its shuffle.
+        sums = sums.filter(F.col("series_id").isin(*streams))
     end = last_month(sums, settings) if end is None else end
     cells = sums.select(
         "series_id",
@@ -109,7 +115,7 @@ def series_arrays(
         announced = sums.sparkSession.createDataFrame(
             [(s, -1, 0.0) for s in streams], "series_id string, idx int, y double"
         )
-        cells = cells.filter(F.col("series_id").isin(*streams)).unionByName(announced)
+        cells = cells.unionByName(announced)
     return (
         cells.groupBy("series_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("idx", "y"))).alias("by_idx"))

@@ -333,9 +333,10 @@ def series_profile(spark, sf_dir):
 @query("series_id# nonzero_months# nonzero_frac~9 route")
 def sparsity_route(spark, sf_dir):
     sums = payer_sums(spark, sf_dir)
-    return profiles.sparsity_route(
+    route = profiles.sparsity_route(
         monthly.demand_months(sums, DEMO), monthly.calendar_length(sums, DEMO)
     )
+    return route.filter(F.col("nonzero_months") > 0)
 
 
 @query(f"year# quarter# months# {SCENARIOS}")
@@ -745,7 +746,7 @@ def breaks(spark, sf_dir):
     return iterative.structural_breaks(group_arrays(spark, sf_dir), penalty=3.0)
 
 
-@query("series_id n_train# arima_order arima_aicc~1 ets_method ets_aicc~1 theta_method")
+@query("series_id n_train# nonzero_pct# arima_order arima_aicc~1 ets_method ets_aicc~1 theta_method")
 def model_info(spark, sf_dir):
     return iterative.member_facts(category_arrays(spark, sf_dir), DEMO)
 
@@ -814,15 +815,25 @@ def prediction_expand(spark, sf_dir):
 
 @query("column psi~9 values# reference_rows# current_rows#")
 def served_drift(spark, sf_dir):
-    """Drift of what was asked and of what was answered, between two serving periods."""
+    """Drift of what was asked and of what was answered, between two serving periods.
+
+    Equal requests get equal answers, so requests are counted first and the answers of each kind
+    of request expanded once, with the count as weight.
+    """
     asked = F.when(
         F.col("asked_at") < F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), drift.REFERENCE
     ).otherwise(drift.CURRENT)
-    requests = valid_requests(spark, sf_dir).withColumn("period", asked)
-    answers = scored_requests(spark, sf_dir).select(
-        asked.alias("period"), F.col("yhat").cast("decimal(18,2)").alias("prediction")
+    kinds = (
+        valid_requests(spark, sf_dir)
+        .groupBy(asked.alias("period"), "horizon", "level")
+        .agg(F.count("*").alias("times"), F.min("request_id").alias("request_id"))
+    )
+    answers = outlook.score_requests(
+        kinds, total_forecast(spark, sf_dir, 24), keep=("period", "times")
+    ).withColumn("prediction", F.col("yhat").cast("decimal(18,2)"))
+    return drift.psi(kinds, ("horizon",), weight="times").unionByName(
+        drift.psi(answers, ("prediction",), weight="times")
     )
-    return drift.psi(requests, ("horizon",)).unionByName(drift.psi(answers, ("prediction",)))
 
 
 # ---- streaming -------------------------------------------------------------------------------

@@ -28,6 +28,8 @@ def local_session(cores: str = "*", app: str = "cashtide", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the call site of every expression would dominate the building of a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -15,6 +15,7 @@ from cashtide.functions.charge_fields import (
     tax_on_fee,
     utc_text,
 )
+from cashtide.sources.tables import require_columns
 
 CHARGE_SCHEMA = """
     id string, created bigint, amount bigint, amount_refunded bigint, currency string,
@@ -85,6 +86,24 @@ def flatten_charges(charges: DataFrame) -> DataFrame:
     return charges.select(*[values[name].alias(name) for name in SNAPSHOT_COLUMNS])
 
 
+# Snapshot column -> name used by the operators.
+CHARGE_COLUMNS = {
+    "Status": "status",
+    "Amount": "amount",
+    "Description": "description",
+    "Created date (UTC)": "created",
+}
+
+
+def charges_from_snapshot(snapshot: DataFrame, source: str = "snapshot") -> DataFrame:
+    """Snapshot or extract columns under the operators' names; the currency is optional."""
+    require_columns(snapshot, CHARGE_COLUMNS, source)
+    wanted = dict(CHARGE_COLUMNS)
+    if "Currency" in snapshot.columns:
+        wanted["Currency"] = "currency"
+    return snapshot.select(*[F.col(f"`{old}`").alias(new) for old, new in wanted.items()])
+
+
 def minimise(snapshot: DataFrame) -> DataFrame:
     """Only the contract columns, whatever else an extract carries; missing ones are NULL."""
     have = set(snapshot.columns)

@@ -190,6 +190,15 @@ def require_fresh(fitted_on: str | None, input_fingerprint: str) -> None:
         )
 
 
+def require_version(resolved: DataFrame, wanted: str, contract: str) -> DataFrame:
+    """The resolved versions, or an error that says what to register."""
+    if wanted.isdigit() and int(wanted) < 1:
+        raise ValueError("a pinned version must be a positive number")
+    if resolved.isEmpty():
+        raise LookupError(f"no version for {wanted!r} with contract {contract!r}: register one first")
+    return resolved
+
+
 def resolve_versions(
     versions: DataFrame, wanted: Column, contract: str, model: str = "model"
 ) -> DataFrame:
