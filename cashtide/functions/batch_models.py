@@ -164,7 +164,7 @@ def fit_theta(y: np.ndarray, h: int, m: int) -> list:
     index = np.where(seasonal[:, None], index, neutral)
     index = np.where(ratio[:, None] & (index <= 0), 1.0, index)
     full = index[:, np.arange(n) % m]
-    x = np.where(ratio[:, None], y / full, y - full)
+    x = np.where(ratio[:, None], y / np.where(ratio[:, None], full, 1.0), y - full)
     alphas = np.repeat(np.linspace(0.02, 0.98, 25)[None], rows, axis=0)
     for width in (0.02, 0.005):
         level = np.repeat(x[:, :1], alphas.shape[1], axis=1)
@@ -227,10 +227,11 @@ def fit_arima(
     spec = f"ARIMA({p},{d},{q})(0,{sd},0)[{m}]"
     # Every order is scored on the same last months, so that their AICc can be compared.
     long_order = min(6, max(2, n // 8))
-    tail = n - (m + 1 if n > 3 * m else 1) - long_order - 2
+    seasonal_fits = n - (m + 1) - long_order - 2 >= 8
+    tail = n - (m + 1 if seasonal_fits else 1) - long_order - 2
     w, z = _difference(y, d, sd, m), _difference(step, d, sd, m)
     start = w.shape[1] - tail
-    if tail < 8 or start < long_order + 2 or (sd and n <= 3 * m):
+    if tail < 8 or start < long_order + 2 or (sd and not seasonal_fits):
         return [(None, None, float("inf"), spec)] * rows
     constant = d + sd <= 1
     first = np.stack([np.ones_like(w[:, long_order:]), *_lags(w, long_order, long_order)], axis=2)

@@ -1,0 +1,111 @@
+"""Whole runs over a small made-up history."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import numpy as np
+import pytest
+from conftest import CHARGE_DDL
+from pyspark.sql import functions as F
+
+from cashtide import Settings
+from cashtide.operators.contracts import ContractError
+from cashtide.operators.selection import RegressionError
+from cashtide.plans import pipeline
+from cashtide.sources import run_log
+
+SETTINGS = Settings(
+    as_of=date(2023, 1, 15), series_start=date(2017, 1, 1), disruption_end=date(2017, 4, 1), cv_windows=2
+)
+
+
+def history(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(72):
+        when = datetime(2017 + i // 12, i % 12 + 1, 10)
+        season = 1 + 0.3 * np.sin(i / 12 * 2 * np.pi)
+        rows.append(("Paid", when, round(float(1000 * season + rng.normal(0, 20)), 2), "aud", "Subscription update"))
+        rows.append(("Paid", when, round(float(rng.uniform(100, 900)), 2), None, "Package initiation"))
+        if i % 2:
+            rows.append(("Paid", when, round(float(rng.uniform(50, 99)), 2), "AUD", "IV League - Booking"))
+        rows.append(("Failed", when, 5.0, "aud", "x"))
+        rows.append(("Paid", when, 5.0, "usd", "x"))
+    return spark.createDataFrame(rows, CHARGE_DDL)
+
+
+@pytest.fixture(scope="module")
+def published(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("published"))
+    charges = history(spark)
+    outcome = pipeline.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
+    return root, charges, outcome
+
+
+def test_run_counts(published):
+    _, _, outcome = published
+    assert (outcome.skipped, outcome.rows_in, outcome.rows_clean, outcome.months) == (False, 324, 180, 72)
+
+
+def test_published_tables(spark, published):
+    root, _, _ = published
+    table = {r["series_id"]: r for r in run_log.read_latest(spark, root, "evaluation").collect()}
+    assert set(table) == set(SETTINGS.streams)
+    assert table["recurring"]["mase"] < 1.0
+    for months in (12, 24):
+        wide = run_log.read_latest(spark, root, f"forecast_{months}m").orderBy("month").collect()
+        assert len(wide) == months and wide[0]["month"] == date(2023, 1, 1)
+        for r in wide:
+            assert 0 <= r["bear"] <= r["base"] <= r["bull"]
+            parts = sum(r[s] for s in SETTINGS.streams)
+            assert r["total_base"] == pytest.approx(parts, abs=0.05)
+    summary = {r["category"]: r["transactions"] for r in run_log.read_latest(spark, root, "category_summary").collect()}
+    assert summary == {"recurring": 72, "one_time": 72, "league": 36}
+
+
+def test_run_record(spark, published):
+    root, charges, _ = published
+    last = run_log.last_run(spark, f"{root}/runs")
+    assert last["data_through"] == "2022-12-01" and last["rows_clean"] == 180
+    assert last["input_fingerprint"] == run_log.fingerprint_text(charges)
+    assert set(last["model_selections"]) == set(SETTINGS.streams) == set(last["metrics"])
+
+
+def test_same_input_and_code_is_a_no_op(published):
+    root, charges, _ = published
+    assert pipeline.run(charges, SETTINGS, root, code_version="c1", run_id="r2").skipped
+
+
+def test_hard_regression_blocks_before_the_forecast(spark, published):
+    root, charges, _ = published
+    # A pattern that repeats exactly from year to year and is new: hard for every model, easy
+    # for the benchmark.
+    repeating = (500 + 3000 * ((F.month("created") * 7) % 12)).cast("double")
+    worse = charges.withColumn(
+        "amount",
+        F.when(
+            (F.col("description") == "Subscription update") & (F.col("created") >= "2021-01-01"),
+            repeating,
+        ).otherwise(F.col("amount")),
+    )
+    before = run_log.latest_version(spark, root, "forecast_12m")
+    with pytest.raises(RegressionError):
+        pipeline.run(worse, SETTINGS, root, code_version="c1", run_id="r3")
+    assert run_log.latest_version(spark, root, "forecast_12m") == before
+    assert run_log.last_run(spark, f"{root}/runs")["run_id"] == "r1"
+
+
+def test_invalid_input_stops_the_run(spark, published, tmp_path):
+    _, charges, _ = published
+    bad = charges.withColumn("created", F.lit(datetime(2099, 1, 1)).cast("timestamp_ntz"))
+    with pytest.raises(ContractError, match="created_in_range"):
+        pipeline.run(bad, SETTINGS, str(tmp_path), code_version="c1")
+
+
+def test_nothing_left_after_cleaning_stops_the_run(published, tmp_path):
+    _, charges, _ = published
+    with pytest.raises(ContractError, match="no rows survived"):
+        pipeline.run(
+            charges.withColumn("status", F.lit("Refunded")), SETTINGS, str(tmp_path), code_version="c1"
+        )
