@@ -16,28 +16,30 @@ MAX_HORIZON = 24
 
 
 def forecast_by_model(
-    arrays: DataFrame, selected: DataFrame, horizon: int, settings: Settings
+    arrays: DataFrame,
+    selected: DataFrame,
+    horizon: int,
+    settings: Settings,
+    models: Sequence[str] = tuple(forecasters.FORECASTERS),
 ) -> DataFrame:
     """Forecast each series with the model chosen for it, in one pass.
 
-    A CASE over the paths evaluates only the chosen one. Series without a choice are left out.
-    ``arrays`` may carry ``outlier_idx``, which the level model leaves out.
+    A CASE over the paths of ``models`` evaluates only the chosen one. Series without a choice
+    among them are left out. ``arrays`` may carry ``outlier_idx``, which the level model leaves
+    out.
     """
     ys = F.col("ys")
     marked = F.col("outlier_idx") if "outlier_idx" in arrays.columns else None
-    paths = {
-        name: model(ys, horizon, settings)
-        for name, model in forecasters.FORECASTERS.items()
-        if name != "level"
-    }
-    paths["level"] = forecasters.level_path_from(
-        forecasters.level_values(ys, settings, marked), horizon
-    )
-    chosen: Column | None = None
-    for name, path in paths.items():
-        hit = F.col("model") == name
-        chosen = F.when(hit, path) if chosen is None else chosen.when(hit, path)
-    routed = arrays.join(selected.select("series_id", "model"), "series_id")
+    chosen = F.lit(None)
+    for name in models:
+        if name == "level":
+            values = forecasters.level_values(ys, settings, marked)
+            path = forecasters.level_path_from(values, horizon)
+        else:
+            path = forecasters.FORECASTERS[name](ys, horizon, settings)
+        chosen = F.when(F.col("model") == name, path).otherwise(chosen)
+    choices = selected.select("series_id", "model").filter(F.col("model").isin(*models))
+    routed = arrays.join(choices, "series_id")
     return explode_path(
         routed.withColumn("path", chosen), ("series_id", "model"), last_known_month()
     )

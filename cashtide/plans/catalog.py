@@ -127,7 +127,7 @@ def routes(spark):
 
 def stream_forecast(spark, sf_dir, horizon):
     return outlook.forecast_by_model(
-        category_arrays(spark, sf_dir), routes(spark), horizon, DEMO
+        category_arrays(spark, sf_dir), routes(spark), horizon, DEMO, tuple(ROUTES.values())
     )
 
 
@@ -528,7 +528,7 @@ def croston(spark, sf_dir):
     return payer_rates(spark, sf_dir)
 
 
-@query("series_id# rate~6 spread~6 lo80~6 hi80~6 lo95~6 hi95~6")
+@query("series_id# rate~4 spread~4 lo80~4 hi80~4 lo95~4 hi95~4")
 def croston_interval(spark, sf_dir):
     return forecasters.with_bounds(payer_rates(spark, sf_dir))
 
@@ -590,14 +590,15 @@ def model_spec(spark, sf_dir):
 def forecast_12m(spark, sf_dir):
     arrays = category_arrays(spark, sf_dir)
     results = bt.backtest(arrays, SQL_MODELS, DEMO)
-    return outlook.forecast_by_model(
-        arrays, chosen_models(scores.score(results)), DEMO.short_horizon, DEMO
-    )
+    chosen = chosen_models(scores.score(results))
+    return outlook.forecast_by_model(arrays, chosen, DEMO.short_horizon, DEMO, CANDIDATES)
 
 
 def group_forecast(spark, sf_dir, horizon):
     chosen = chosen_models(group_scores(spark, sf_dir))
-    return outlook.forecast_by_model(group_arrays(spark, sf_dir), chosen, horizon, DEMO)
+    return outlook.forecast_by_model(
+        group_arrays(spark, sf_dir), chosen, horizon, DEMO, CANDIDATES
+    )
 
 
 @query(f"series_id model {PATH}")
@@ -772,7 +773,7 @@ def evaluation_full(spark, sf_dir):
     path = f"{scratch_dir(spark, 'backtests')}/results"
     results.write.parquet(path)
     stored = spark.read.schema(results.schema).parquet(path)
-    return pipeline.evaluate(stored)[1]
+    return pipeline.evaluate(stored)
 
 
 # ---- provenance and drift --------------------------------------------------------------------

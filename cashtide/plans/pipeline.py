@@ -1,15 +1,15 @@
 """The whole run: read, validate, clean, monthly series, models, selection, forecast, log.
 
-The only materialised tables are small: the monthly sums, the flags and breaks, the backtest
-results and the published tables. Raw charges are scanned twice, once by the quality gate and once
-by the monthly aggregation.
+The only materialised tables are small: the monthly series, the flags and breaks, the backtest
+results and the published tables. Raw charges are read by the fingerprint, by the quality gate
+and by the monthly aggregation, each time in one pass with partial aggregation.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.categories import DEFAULT_RULES, StreamRule
@@ -20,6 +20,10 @@ from cashtide.settings import Settings
 from cashtide.sources import run_log
 
 PIPELINE_VERSION = "1"
+CATEGORY = "category"
+CLOSED_FORM = ("croston", "level", selection.BENCHMARK)
+# Series other than the named streams may take any model; ties go to the first.
+ANY_SERIES_ORDER = (iterative.ENSEMBLE, "croston", "level")
 
 
 @dataclass(frozen=True)
@@ -33,10 +37,10 @@ class PublishedRun:
     months: int = 0
 
 
-def _materialise(df: DataFrame, root: str, name: str, run_id: str) -> DataFrame:
+def materialise(df: DataFrame, root: str, name: str, run_id: str) -> DataFrame:
     """Write a table of this run and go on from the written copy, which also cuts the lineage."""
     path = run_log.write_versioned(df, root, name, run_id)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load_monthly(
@@ -45,19 +49,23 @@ def load_monthly(
     root: str,
     run_id: str,
     rules: tuple[StreamRule, ...] = DEFAULT_RULES,
+    by: str = CATEGORY,
 ) -> tuple[DataFrame, int, int]:
-    """Validate, clean and aggregate; writes the monthly series and the category audit.
+    """Validate, clean and aggregate; writes the category audit and the monthly series.
 
+    ``by`` is the column that names the series: the category, or any other column of the charges.
     Returns the written long series, the number of raw rows and of rows kept.
     """
     rows_in = contracts.enforce(charges, contracts.charge_rules(settings.as_of))
-    cleaned = clean_charges(charges, settings, rules)
+    cleaned = clean_charges(charges, settings, rules, keep=() if by == CATEGORY else (by,))
     contracts.require_rows(cleaned)
-    summary = _materialise(profiles.category_summary(cleaned), root, "category_summary", run_id)
+    summary = materialise(profiles.category_summary(cleaned), root, "category_summary", run_id)
     rows_clean = summary.agg(F.sum("transactions")).first()[0]
-    sums = monthly.monthly_sums(cleaned, settings)
-    long = monthly.fill_calendar(sums, settings, streams=settings.streams)
-    return _materialise(long, root, "monthly_long", run_id), rows_in, rows_clean
+    streams = settings.streams if by == CATEGORY else None
+    long = monthly.fill_calendar(
+        monthly.monthly_sums(cleaned, settings, by), settings, streams=streams
+    )
+    return materialise(long, root, "monthly_long", run_id), rows_in, rows_clean
 
 
 def rebuild_arrays(long: DataFrame) -> DataFrame:
@@ -81,27 +89,27 @@ def backtest_all(
     arrays: DataFrame, settings: Settings, first_breaks: DataFrame | None = None
 ) -> DataFrame:
     """Backtests of every model a series may be given, and of the benchmark."""
-    closed_form = backtest.backtest(
-        arrays, ("croston", "level", selection.BENCHMARK), settings
-    )
+    closed_form = backtest.backtest(arrays, CLOSED_FORM, settings)
     return iterative.ensemble_backtest(arrays, settings, first_breaks).unionByName(closed_form)
 
 
-def evaluate(results: DataFrame, rank=None) -> tuple[DataFrame, DataFrame]:
-    """(scores of all models, evaluation table of the selected ones with diagnostics)."""
+def stream_preference() -> Column:
+    """The named streams choose between their default and its challenger."""
+    return selection.preference(F.col("series_id"), F.col("model"), selection.DEFAULT_PAIRS)
+
+
+def evaluate(results: DataFrame, rank: Column | None = None) -> DataFrame:
+    """Evaluation table of the selected models with their diagnostics."""
     scored = scores.score(results)
-    if rank is None:
-        rank = selection.preference(
-            F.col("series_id"), F.col("model"), selection.DEFAULT_PAIRS
-        )
-    chosen = selection.select_model(scored, rank)
-    residuals = scores.residual_arrays(results)
-    table = selection.with_diagnostics(
+    chosen = selection.select_model(scored, stream_preference() if rank is None else rank)
+    residuals = scores.residual_arrays(results).join(
+        chosen.select("series_id", "model"), ["series_id", "model"], "left_semi"
+    )
+    return selection.with_diagnostics(
         selection.evaluation(scored, chosen),
         scores.ljung_box_p(scores.ljung_box(residuals)),
         scores.normality(residuals),
     )
-    return scored, table
 
 
 def forecast_selected(
@@ -112,17 +120,13 @@ def forecast_selected(
     first_breaks: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast of every series by the model selected for it."""
-    with_ensemble = arrays.join(
-        chosen.filter(F.col("model") == iterative.ENSEMBLE).select("series_id"),
-        "series_id",
-        "left_semi",
-    )
-    others = chosen.filter(F.col("model") != iterative.ENSEMBLE)
-    if "outlier_idx" in with_ensemble.columns:
-        with_ensemble = with_ensemble.drop("outlier_idx")
-    return outlook.forecast_by_model(arrays, others, horizon, settings).unionByName(
-        iterative.ensemble_forecast(with_ensemble, horizon, settings, first_breaks)
+    ensemble = chosen.filter(F.col("model") == iterative.ENSEMBLE).select("series_id")
+    with_ensemble = arrays.join(ensemble, "series_id", "left_semi").select(
+        "series_id", "first_month", "ys"
     )
+    return outlook.forecast_by_model(
+        arrays, chosen, horizon, settings, CLOSED_FORM
+    ).unionByName(iterative.ensemble_forecast(with_ensemble, horizon, settings, first_breaks))
 
 
 def run(
@@ -134,11 +138,13 @@ def run(
     run_id: str | None = None,
     force: bool = False,
     rules: tuple[StreamRule, ...] = DEFAULT_RULES,
+    by: str = CATEGORY,
 ) -> PublishedRun:
     """A full run that publishes its tables below ``root``.
 
     It is skipped when input and code equal those of the newest run. The regression gate comes
-    before any forecast is published; a blocked run leaves the newest forecast in place.
+    before anything it judges is published; a blocked run leaves the newest evaluation and
+    forecasts in place.
     """
     spark = charges.sparkSession
     run_id = run_id or run_log.new_run_id()
@@ -147,31 +153,38 @@ def run(
     if not force and run_log.unchanged(run_log.last_run(spark, log), fingerprint, code_version):
         return PublishedRun(run_id, skipped=True)
 
-    long, rows_in, rows_clean = load_monthly(charges, settings, root, run_id, rules)
+    long, rows_in, rows_clean = load_monthly(charges, settings, root, run_id, rules, by)
     arrays = rebuild_arrays(long)
     outliers, breaks = explore(arrays, settings)
-    outliers = _materialise(outliers, root, "outliers", run_id)
-    breaks = _materialise(breaks, root, "breaks", run_id)
-    # The step regressor is used for the recurring stream only.
-    first_breaks = robust.first_break(breaks.filter(F.col("series_id") == "recurring"))
-
-    results = _materialise(
+    outliers = materialise(outliers, root, "outliers", run_id)
+    breaks = materialise(breaks, root, "breaks", run_id)
+    first_breaks = robust.first_break(breaks)
+    named = by == CATEGORY
+    if named:  # the step regressor is used for the recurring stream only
+        first_breaks = first_breaks.filter(F.col("series_id") == "recurring")
+
+    results = materialise(
         backtest_all(arrays, settings, first_breaks), root, "backtests", run_id
     )
-    _, table = evaluate(results)
-    selection.regression_gate(table, run_log.prior_mase(spark, log)).count()
-    table = _materialise(table, root, "evaluation", run_id)
+    rank = None if named else selection.ranked_by(F.col("model"), ANY_SERIES_ORDER)
+    table = evaluate(results, rank)
+    selection.regression_gate(table, run_log.prior_mase(spark, log, root))
+    table = materialise(table, root, "evaluation", run_id)
 
     marked = forecasters.with_outlier_positions(arrays, outliers)
+    # A shorter horizon is the beginning of the longer one: no model is fitted twice.
+    longest = materialise(
+        forecast_selected(marked, table, settings.long_horizon, settings, first_breaks),
+        root,
+        f"forecast_{settings.long_horizon}m_long",
+        run_id,
+    )
     for horizon in (settings.short_horizon, settings.long_horizon):
-        forecast = _materialise(
-            forecast_selected(marked, table, horizon, settings, first_breaks),
-            root,
-            f"forecast_{horizon}m_long",
-            run_id,
+        part = longest.filter(F.col("step") <= horizon)
+        wide = (
+            outlook.forecast_table(part, settings.streams) if named else outlook.total_forecast(part)
         )
-        wide = outlook.forecast_table(forecast, settings.streams)
-        _materialise(wide, root, f"forecast_{horizon}m", run_id)
+        materialise(wide, root, f"forecast_{horizon}m", run_id)
 
     span = long.agg(
         F.max("month").cast("string").alias("last"), F.max("idx").alias("idx")
@@ -188,6 +201,7 @@ def run(
         rows_clean=rows_clean,
         months=span["idx"] + 1,
         evaluated=table,
+        streams=settings.streams if named else (),
     )
     run_log.append_run(record, log)
     return PublishedRun(run_id, False, rows_in, rows_clean, span["idx"] + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,10 +94,12 @@ def run_record(
     rows_clean: int,
     months: int,
     evaluated: DataFrame | None = None,
+    streams: Sequence[str] = (),
 ) -> DataFrame:
-    """One row describing a run. Per-series selections and metrics stay maps in that row.
+    """One row describing a run, with selections and metrics of the named ``streams`` as maps.
 
-    Use it for published streams, which are few; for many series keep the evaluation table.
+    The maps hold the named streams only, so the row stays small however many series were
+    evaluated; all of them are in the run's evaluation table.
     """
     facts = spark.createDataFrame(
         [
@@ -125,7 +128,7 @@ def run_record(
     metrics = F.struct(
         "mase", "rmse", "winkler80", p_value.alias("ljung_box_p"), "beats_baseline"
     )
-    maps = evaluated.agg(
+    maps = evaluated.filter(F.col("series_id").isin(*streams)).agg(
         F.map_from_entries(F.collect_list(F.struct("series_id", "model"))).alias("model_selections"),
         F.map_from_entries(F.collect_list(F.struct(F.col("series_id"), metrics))).alias("metrics"),
     )
@@ -158,15 +161,17 @@ def last_run(spark: SparkSession, path: str) -> dict | None:
     return json.loads(newest) if newest else None
 
 
-def prior_mase(spark: SparkSession, path: str) -> DataFrame | None:
-    """(series_id, prior_mase) of the newest run for the regression gate, or None."""
-    runs = read_runs(spark, path)
-    if runs is None:
+def prior_mase(spark: SparkSession, log: str, root: str, name: str = "evaluation") -> DataFrame | None:
+    """(series_id, prior_mase) of the newest logged run for the regression gate, or None.
+
+    Read from that run's evaluation table, a row per series. A logged run without its table is
+    an error, not a first run.
+    """
+    newest = last_run(spark, log)
+    if newest is None:
         return None
-    newest = runs.agg(F.max_by("metrics", F.struct("run_at", "run_id")).alias("metrics"))
-    return newest.select(F.explode("metrics").alias("series_id", "m")).select(
-        "series_id", F.col("m.mase").alias("prior_mase")
-    )
+    table = spark.read.parquet(f"{root}/{name}/run_id={newest['run_id']}")
+    return table.select("series_id", F.col("mase").alias("prior_mase"))
 
 
 def unchanged(prior: dict | None, input_fingerprint: str, code_version: str) -> bool:

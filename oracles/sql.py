@@ -391,9 +391,13 @@ def pct(new: str, old: str) -> str:
 # Autocorrelations of any (id, o, idx, y) rows.
 def autocorrelation(rows: str, max_lag: int) -> str:
     return f"""centred AS (
-        SELECT id, idx, y - avg(y) OVER (PARTITION BY id) AS d, count(*) OVER (PARTITION BY id) AS n
+        SELECT id, idx, y, y - avg(y) OVER (PARTITION BY id) AS d,
+               count(*) OVER (PARTITION BY id) AS n
         FROM ({rows})),
-    power AS (SELECT id, any_value(n) AS n, sum(d * d) AS p FROM centred GROUP BY 1),
+    power AS (
+        SELECT id, any_value(n) AS n,
+               CASE WHEN sum(d * d) > sum(y * y) * 1e-24 THEN sum(d * d) END AS p
+        FROM centred GROUP BY 1),
     lags AS (SELECT i AS lag FROM range(0, {max_lag + 1}) r(i)),
     products AS (
         SELECT a.id, l.lag, sum(a.d * b.d) AS c

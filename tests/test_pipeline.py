@@ -109,3 +109,25 @@ def test_nothing_left_after_cleaning_stops_the_run(published, tmp_path):
         pipeline.run(
             charges.withColumn("status", F.lit("Refunded")), SETTINGS, str(tmp_path), code_version="c1"
         )
+
+
+def test_any_column_can_name_the_series(spark, tmp_path):
+    charges = history(spark).withColumn(
+        "shop", F.concat(F.lit("shop-"), (F.dayofmonth("created") + F.month("created") % 2).cast("string"))
+    )
+    root = str(tmp_path)
+    outcome = pipeline.run(charges, SETTINGS, root, code_version="c1", by="shop")
+    assert outcome.months == 72
+    table = run_log.read_latest(spark, root, "evaluation").collect()
+    assert {r["series_id"] for r in table} == {"shop-10", "shop-11"}
+    total = run_log.read_latest(spark, root, "forecast_24m")
+    assert total.count() == 24 and total.filter("bear <= base and base <= bull").count() == 24
+    prior = run_log.prior_mase(spark, f"{root}/runs", root)
+    assert prior.count() == 2
+
+
+def test_horizons_share_their_beginning(spark, published):
+    root, _, _ = published
+    short = run_log.read_latest(spark, root, "forecast_12m")
+    long = run_log.read_latest(spark, root, "forecast_24m")
+    assert short.exceptAll(long).count() == 0

@@ -100,17 +100,23 @@ def record(spark, run_id, **other):
 
 def test_run_log_absence_and_corruption_are_kept_apart(spark, tmp_path):
     path = str(tmp_path / "runs")
-    assert run_log.last_run(spark, path) is None and run_log.prior_mase(spark, path) is None
+    root = str(tmp_path)
+    assert run_log.last_run(spark, path) is None and run_log.prior_mase(spark, path, root) is None
     evaluated = spark.createDataFrame(
         [("a", "level", 0.5, 2.0, 9.0, True), ("b", "croston", None, 1.0, None, False)],
         "series_id string, model string, mase double, rmse double, winkler80 double, beats_baseline boolean",
     )
-    run_log.append_run(record(spark, "r1", evaluated=evaluated), path)
-    run_log.append_run(record(spark, "r2", evaluated=evaluated.withColumn("mase", F.lit(0.7))), path)
+    run_log.append_run(record(spark, "r1", evaluated=evaluated, streams=("a", "b")), path)
+    later = evaluated.withColumn("mase", F.lit(0.7))
+    run_log.append_run(record(spark, "r2", evaluated=later, streams=("a",)), path)
     last = run_log.last_run(spark, path)
-    assert last["run_id"] == "r2" and last["model_selections"] == {"a": "level", "b": "croston"}
+    assert last["run_id"] == "r2" and last["model_selections"] == {"a": "level"}
     assert last["metrics"]["a"]["mase"] == 0.7 and last["schema_version"] == 1
-    assert {r["series_id"]: r["prior_mase"] for r in run_log.prior_mase(spark, path).collect()} == {"a": 0.7, "b": 0.7}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        run_log.prior_mase(spark, path, root)
+    run_log.write_versioned(later, root, "evaluation", "r2")
+    prior = run_log.prior_mase(spark, path, root)
+    assert {r["series_id"]: r["prior_mase"] for r in prior.collect()} == {"a": 0.7, "b": 0.7}
     (tmp_path / "runs" / "broken.json").write_text("{not json")
     with pytest.raises(Exception, match="[Mm]alformed|MALFORMED|FAILED_READ"):
         run_log.last_run(spark, path)
