@@ -56,19 +56,24 @@ def charge_rules(as_of: date, earliest_year: int = EARLIEST_YEAR) -> list[Rule]:
     ]
 
 
-def quality_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per rule: rows seen, rows that break it, and one offending value.
-
-    A single aggregate over the scan; every rule is a conditional sum with partial aggregation.
-    """
-    counts = df.agg(
+def rule_counts(rules: Sequence[Rule]) -> list[Column]:
+    """Aggregates for one pass: rows, and per rule its failures and one offending value."""
+    return [
         F.count("*").alias("rows"),
         *[F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate(rules)],
         *[
             F.min(F.when(rule.broken, F.col(rule.column).cast("string"))).alias(f"s{i}")
             for i, rule in enumerate(rules)
         ],
-    )
+    ]
+
+
+def quality_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule: rows seen, rows that break it, and one offending value.
+
+    A single aggregate over the scan; every rule is a conditional sum with partial aggregation.
+    """
+    counts = df.agg(*rule_counts(rules))
     lines = [
         F.struct(
             F.lit(rule.name).alias("rule"),
@@ -87,16 +92,30 @@ def enforce(
     rules: Sequence[Rule],
     required: Sequence[str] = REQUIRED_CHARGE_COLUMNS,
 ) -> int:
-    """Raise with *all* broken rules, or return the number of rows. One small row per rule is
-    brought to the driver. Extra columns and their order do not matter."""
+    """Raise with *all* broken rules, or return the number of rows. One row of counts is brought
+    to the driver. Extra columns and their order do not matter."""
+    require_contract_columns(df, required)
+    return judge(df.agg(*rule_counts(rules)).first().asDict(), rules)
+
+
+def require_contract_columns(
+    df: DataFrame, required: Sequence[str] = REQUIRED_CHARGE_COLUMNS
+) -> None:
     missing = [name for name in required if name not in df.columns]
     if missing:
         raise ContractError(f"missing columns: {missing}")
-    lines = quality_report(df, rules).collect()
-    broken = [f"{r['rule']}: {r['failures']} rows, e.g. {r['sample']!r}" for r in lines if r["failures"]]
+
+
+def judge(counts: dict, rules: Sequence[Rule]) -> int:
+    """The number of rows from a row of :func:`rule_counts`, or an error with all broken rules."""
+    broken = [
+        f"{rule.name}: {counts[f'n{i}']} rows, e.g. {counts[f's{i}']!r}"
+        for i, rule in enumerate(rules)
+        if counts[f"n{i}"]
+    ]
     if broken:
         raise ContractError("; ".join(broken))
-    return lines[0]["rows"] if lines else df.count()
+    return counts["rows"]
 
 
 def with_reasons(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

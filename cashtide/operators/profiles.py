@@ -15,17 +15,32 @@ def money(column: Column) -> Column:
     return F.round(column, 2).cast("double")
 
 
+def amount_cells(charges: DataFrame, *keys: str | Column) -> DataFrame:
+    """Count, sum, min and max of the amounts per key: all a run needs from the raw charges."""
+    return charges.groupBy(*keys).agg(
+        F.count("amount").alias("transactions"),
+        F.sum("amount").alias("total"),
+        F.min("amount").alias("smallest"),
+        F.max("amount").alias("largest"),
+    )
+
+
 def category_summary(charges: DataFrame) -> DataFrame:
+    """Audit of the cleaned charges per category."""
+    return summarise_cells(amount_cells(charges, "category"))
+
+
+def summarise_cells(cells: DataFrame) -> DataFrame:
     """Count, sum, mean, min and max per category, and the share of the rounded totals.
 
     The share is a window over the finished category rows. There are as many as there are
     rules, so one task is enough, and the charges are read once.
     """
-    per_category = charges.groupBy("category").agg(
-        F.count("amount").alias("transactions"),
-        F.sum("amount").alias("total"),
-        F.min("amount").alias("smallest"),
-        F.max("amount").alias("largest"),
+    per_category = cells.groupBy("category").agg(
+        F.sum("transactions").alias("transactions"),
+        F.sum("total").cast("decimal(38,2)").alias("total"),
+        F.min("smallest").alias("smallest"),
+        F.max("largest").alias("largest"),
     )
     rounded = per_category.select(
         "category",

@@ -1,8 +1,8 @@
 """The whole run: read, validate, clean, monthly series, models, selection, forecast, log.
 
-The only materialised tables are small: the monthly series, the flags and breaks, the backtest
-results and the published tables. Raw charges are read by the fingerprint, by the quality gate
-and by the monthly aggregation, each time in one pass with partial aggregation.
+Raw charges are read twice: once for the input fingerprint together with the quality gate, once
+to reduce them to one row per series, category and month. Everything after works on that small
+written table and on other written tables of the run.
 """
 
 from __future__ import annotations
@@ -43,6 +43,25 @@ def materialise(df: DataFrame, root: str, name: str, run_id: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def inspect(
+    charges: DataFrame, settings: Settings, code_version: str, prior: dict | None
+) -> tuple[str, int | None]:
+    """(input fingerprint, rows) in one pass over the charges.
+
+    The rows are None when the prior run had the same input and code. Otherwise every broken
+    rule of the charge contract is reported in one error.
+    """
+    contracts.require_contract_columns(charges)
+    rules = contracts.charge_rules(settings.as_of)
+    # Both lists begin with the number of rows.
+    hashes = run_log.fingerprint_aggregates(charges)[1:]
+    counted = charges.agg(*contracts.rule_counts(rules), *hashes).first().asDict()
+    fingerprint = run_log.as_text(counted)
+    if run_log.unchanged(prior, fingerprint, code_version):
+        return fingerprint, None
+    return fingerprint, contracts.judge(counted, rules)
+
+
 def load_monthly(
     charges: DataFrame,
     settings: Settings,
@@ -50,22 +69,29 @@ def load_monthly(
     run_id: str,
     rules: tuple[StreamRule, ...] = DEFAULT_RULES,
     by: str = CATEGORY,
-) -> tuple[DataFrame, int, int]:
-    """Validate, clean and aggregate; writes the category audit and the monthly series.
+) -> tuple[DataFrame, int]:
+    """Clean and aggregate; writes the category audit and the monthly series.
 
     ``by`` is the column that names the series: the category, or any other column of the charges.
-    Returns the written long series, the number of raw rows and of rows kept.
+    Returns the written long series and the number of rows kept.
     """
-    rows_in = contracts.enforce(charges, contracts.charge_rules(settings.as_of))
     cleaned = clean_charges(charges, settings, rules, keep=() if by == CATEGORY else (by,))
-    contracts.require_rows(cleaned)
-    summary = materialise(profiles.category_summary(cleaned), root, "category_summary", run_id)
+    month = monthly.month_of(F.col("created"))
+    per_cell = profiles.amount_cells(
+        cleaned, F.col(by).alias("series_id"), F.col("category"), month.alias("month")
+    )
+    cells = materialise(per_cell, root, "monthly_cells", run_id)
+    contracts.require_rows(cells)
+    summary = materialise(profiles.summarise_cells(cells), root, "category_summary", run_id)
     rows_clean = summary.agg(F.sum("transactions")).first()[0]
-    streams = settings.streams if by == CATEGORY else None
-    long = monthly.fill_calendar(
-        monthly.monthly_sums(cleaned, settings, by), settings, streams=streams
+    sums = (
+        cells.filter(F.col("month") >= F.lit(settings.series_start))
+        .groupBy("series_id", "month")
+        .agg(F.sum("total").alias("y"))
     )
-    return materialise(long, root, "monthly_long", run_id), rows_in, rows_clean
+    streams = settings.streams if by == CATEGORY else None
+    long = monthly.fill_calendar(sums, settings, streams=streams)
+    return materialise(long, root, "monthly_long", run_id), rows_clean
 
 
 def rebuild_arrays(long: DataFrame) -> DataFrame:
@@ -149,11 +175,12 @@ def run(
     spark = charges.sparkSession
     run_id = run_id or run_log.new_run_id()
     log = f"{root}/runs"
-    fingerprint = run_log.fingerprint_text(charges)
-    if not force and run_log.unchanged(run_log.last_run(spark, log), fingerprint, code_version):
+    prior = None if force else run_log.last_run(spark, log)
+    fingerprint, rows_in = inspect(charges, settings, code_version, prior)
+    if rows_in is None:
         return PublishedRun(run_id, skipped=True)
 
-    long, rows_in, rows_clean = load_monthly(charges, settings, root, run_id, rules, by)
+    long, rows_clean = load_monthly(charges, settings, root, run_id, rules, by)
     arrays = rebuild_arrays(long)
     outliers, breaks = explore(arrays, settings)
     outliers = materialise(outliers, root, "outliers", run_id)

@@ -13,6 +13,8 @@ from cashtide.sources.tables import path_exists
 
 SCHEMA_VERSION = 1
 
+WRITE_OPTIONS = {"csv": {"header": "true"}, "json": {"ignoreNullFields": "false"}}
+
 RUN_SCHEMA = """
     schema_version int, run_id string, run_at string, code_version string,
     pipeline_version string, input_source string, input_fingerprint string, data_through string,
@@ -28,31 +30,43 @@ def new_run_id(moment: datetime | None = None) -> str:
     return (moment or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive fingerprint of a table's content: one row, one pass, no shuffle of rows."""
+def fingerprint_aggregates(df: DataFrame) -> list[Column]:
+    """Aggregates whose values do not depend on the order of the rows."""
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.select(row_hash.alias("_h")).agg(
+    columns = sorted(f"{field.name}:{field.dataType.simpleString()}" for field in df.schema)
+    return [
         F.count("*").alias("rows"),
-        F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"),
-        F.bit_xor("_h").alias("hash_xor"),
-    )
+        F.sum(row_hash.cast("decimal(38,0)")).alias("hash_sum"),
+        F.bit_xor(row_hash).alias("hash_xor"),
+        F.max(F.xxhash64(F.lit("|".join(columns)))).alias("schema_hash"),
+    ]
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Order-insensitive fingerprint of a table's content: one row, one pass, no shuffle of rows."""
+    return df.agg(*fingerprint_aggregates(df))
+
+
+def as_text(counted: dict) -> str:
+    """The fingerprint as one short text."""
+    parts = [counted[k] or 0 for k in ("schema_hash", "rows", "hash_sum", "hash_xor")]
+    return f"{parts[0]:x}-{parts[1]}-{parts[2]}-{parts[3]:x}"
 
 
 def fingerprint_text(df: DataFrame) -> str:
-    """The fingerprint as one short text, prefixed by the schema's own hash."""
-    columns = "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema, key=lambda f: f.name))
-    row = fingerprint(df).withColumn("schema_hash", F.xxhash64(F.lit(columns))).first()
-    return f"{row['schema_hash']:x}-{row['rows']}-{row['hash_sum'] or 0}-{row['hash_xor'] or 0:x}"
+    return as_text(fingerprint(df).first().asDict())
 
 
-def write_versioned(df: DataFrame, root: str, name: str, run_id: str) -> str:
+def write_versioned(
+    df: DataFrame, root: str, name: str, run_id: str, fmt: str = "parquet"
+) -> str:
     """Write ``<root>/<name>/run_id=<id>`` and then point ``latest`` at it.
 
     A version becomes visible only through the pointer, and the pointer is written after the
     committer has finished the data, so readers see the old version or the new one.
     """
     path = f"{root}/{name}/run_id={run_id}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").format(fmt).options(**WRITE_OPTIONS.get(fmt, {})).save(path)
     pointer = df.sparkSession.createDataFrame(
         [(run_id, path, datetime.now(UTC).isoformat())], "run_id string, path string, at string"
     )
@@ -74,11 +88,15 @@ def latest_version(spark: SparkSession, root: str, name: str) -> tuple[str, str]
     return (newest["run_id"], newest["path"]) if newest else None
 
 
-def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_latest(
+    spark: SparkSession, root: str, name: str, fmt: str = "parquet", schema: str | None = None
+) -> DataFrame:
+    """The newest version; text formats need a schema."""
     found = latest_version(spark, root, name)
     if found is None:
         raise FileNotFoundError(f"no version of {name!r} below {root}")
-    return spark.read.parquet(found[1])
+    reader = spark.read.format(fmt).options(**WRITE_OPTIONS.get(fmt, {}))
+    return (reader.schema(schema) if schema else reader).load(found[1])
 
 
 def run_record(

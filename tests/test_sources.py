@@ -79,6 +79,15 @@ def test_versions_and_latest(spark, tmp_path):
         run_log.write_versioned(one, root, "t", "20210101T000000Z")
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_formats_round_trip(spark, tmp_path, fmt):
+    ddl = "a int, b string, c double"
+    frame = spark.createDataFrame([(1, 'x, "y"', 1.5), (2, None, None)], ddl)
+    run_log.write_versioned(frame, str(tmp_path), "t", "r1", fmt)
+    back = run_log.read_latest(spark, str(tmp_path), "t", fmt, ddl)
+    assert sorted(back.collect()) == sorted(frame.collect())
+
+
 def test_fingerprint_ignores_order_and_sees_content(spark):
     rows = [(i, f"v{i % 7}") for i in range(200)]
     ddl = "a int, b string"
