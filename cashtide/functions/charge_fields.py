@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cashtide.functions.folds import let
+
 # Currencies quoted without a minor unit.
 ZERO_DECIMAL_CURRENCIES = (
     "bif", "clp", "djf", "gnf", "jpy", "kmf", "krw", "mga",
@@ -28,7 +30,7 @@ def reported_status(status: Column) -> Column:
 def major_units(amount: Column, currency: Column) -> Column:
     """Minor units to major units; zero-decimal currencies pass through."""
     whole = F.lower(F.coalesce(currency, F.lit(""))).isin(*ZERO_DECIMAL_CURRENCIES)
-    return F.when(whole, amount.cast("double")).otherwise(amount.cast("double") / 100)
+    return amount.cast("double") / F.when(whole, 1.0).otherwise(100.0)
 
 
 def utc_text(epoch_seconds: Column) -> Column:
@@ -48,7 +50,7 @@ def tax_on_fee(fee_details: Column) -> Column:
     total = F.aggregate(
         taxes, F.lit(0).cast("long"), lambda acc, line: acc + F.coalesce(line["amount"], F.lit(0))
     )
-    return F.nullif(total, F.lit(0).cast("long"))
+    return let(total, lambda t: F.when(t != 0, t))
 
 
 def first_refund(refunds: Column) -> Column:

@@ -58,8 +58,10 @@ def psi(
     )
     share = lambda n, total: F.greatest(F.col(n) / F.nullif(total, F.lit(0)), F.lit(EPSILON))
     ref, cur = share("n_ref", "all_ref"), share("n_cur", "all_cur")
+    # One row per named column: the list of columns bounds what is broadcast, and a column with
+    # very many values does not end up in one task.
     return (
-        counts.join(totals, "column")
+        counts.join(F.broadcast(totals), "column")
         .groupBy("column")
         .agg(
             F.sum((cur - ref) * F.log(cur / ref)).alias("psi"),

@@ -34,29 +34,37 @@ def ranked_by(model: Column, order: Sequence[str]) -> Column:
     return rank
 
 
-def select_model(scores: DataFrame, rank: Column) -> DataFrame:
-    """The candidate with the lowest MASE; a tie or an undefined MASE keeps the preferred one."""
-    order = F.struct(F.col("mase").isNull(), F.coalesce("mase", F.lit(0.0)), F.col("_rank"))
-    candidates = scores.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
+def select_model(scores: DataFrame, rank: Column, benchmark: str = BENCHMARK) -> DataFrame:
+    """The candidate with the lowest MASE; a tie or an undefined MASE keeps the preferred one.
+
+    ``baseline`` is the MASE of the benchmark. Choice and benchmark come from one grouping, so
+    the scores, and the backtests below them, are computed once.
+    """
+    order = F.when(
+        F.col("_rank").isNotNull(),
+        F.struct(F.col("mase").isNull(), F.coalesce("mase", F.lit(0.0)), F.col("_rank")),
+    )
     best = F.min_by(F.struct("model", "mase", "rmse", "winkler80"), order)
+    baseline = F.max(F.when(F.col("model") == benchmark, F.col("mase")))
     return (
-        candidates.groupBy("series_id").agg(best.alias("best")).select("series_id", "best.*")
+        scores.withColumn("_rank", rank)
+        .groupBy("series_id")
+        .agg(best.alias("best"), baseline.alias("baseline"))
+        .filter(F.col("best").isNotNull())
+        .select("series_id", "best.*", "baseline")
     )
 
 
-def evaluation(scores: DataFrame, selected: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
+def evaluation(selected: DataFrame) -> DataFrame:
     """Scores of the selected models next to the benchmark, rounded for publication."""
-    reference = scores.filter(F.col("model") == benchmark).select(
-        "series_id", F.col("mase").alias("baseline_raw")
-    )
-    beats = F.coalesce(F.col("mase") < F.col("baseline_raw"), F.lit(False))
-    return selected.join(reference, "series_id", "left").select(
+    beats = F.coalesce(F.col("mase") < F.col("baseline"), F.lit(False))
+    return selected.select(
         "series_id",
         "model",
         F.round("mase", 4).alias("mase"),
         F.round("rmse", 2).alias("rmse"),
         F.round("winkler80", 2).alias("winkler80"),
-        F.round("baseline_raw", 4).alias("baseline_mase"),
+        F.round("baseline", 4).alias("baseline_mase"),
         beats.alias("beats_baseline"),
     )
 

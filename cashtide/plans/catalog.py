@@ -162,9 +162,7 @@ def chosen_models(scored):
 
 
 def group_evaluation(spark, sf_dir):
-    # Selection and benchmark come from the same scores; Spark reuses their shuffle.
-    scored = group_scores(spark, sf_dir)
-    return selection.evaluation(scored, chosen_models(scored))
+    return selection.evaluation(chosen_models(group_scores(spark, sf_dir)))
 
 
 def valid_requests(spark, sf_dir):

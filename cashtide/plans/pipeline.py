@@ -132,7 +132,7 @@ def evaluate(results: DataFrame, rank: Column | None = None) -> DataFrame:
         chosen.select("series_id", "model"), ["series_id", "model"], "left_semi"
     )
     return selection.with_diagnostics(
-        selection.evaluation(scored, chosen),
+        selection.evaluation(chosen),
         scores.ljung_box_p(scores.ljung_box(residuals)),
         scores.normality(residuals),
     )
