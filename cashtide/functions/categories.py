@@ -33,9 +33,12 @@ DEFAULT_RULES = (
 FALLBACK_STREAM = "one_time"
 
 
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
+
 def trimmed(text: Column) -> Column:
-    """Text without leading or trailing white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without leading or trailing white space of any kind; no regular expression per row."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def stream_of(

@@ -55,6 +55,11 @@ def summarise_cells(cells: DataFrame) -> DataFrame:
     return rounded.withColumn("share_pct", F.round(F.col("total") / overall * 100, 1))
 
 
+def by_total(summary: DataFrame) -> DataFrame:
+    """Largest category first. For publishing; the order means nothing to later operators."""
+    return summary.orderBy(F.desc("total"), "category")
+
+
 def series_profile(long: DataFrame) -> DataFrame:
     """Total, non-zero months, range and last month of every series."""
     return long.groupBy("series_id").agg(

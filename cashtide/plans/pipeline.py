@@ -82,7 +82,8 @@ def load_monthly(
     )
     cells = materialise(per_cell, root, "monthly_cells", run_id)
     contracts.require_rows(cells)
-    summary = materialise(profiles.summarise_cells(cells), root, "category_summary", run_id)
+    summary = profiles.by_total(profiles.summarise_cells(cells)).coalesce(1)
+    summary = materialise(summary, root, "category_summary", run_id)
     rows_clean = summary.agg(F.sum("transactions")).first()[0]
     sums = (
         cells.filter(F.col("month") >= F.lit(settings.series_start))

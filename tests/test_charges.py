@@ -11,7 +11,7 @@ from cashtide.functions.categories import StreamRule, stream_of
 from cashtide.functions.charge_fields import major_units, reported_status, utc_text
 from cashtide.operators import monthly
 from cashtide.operators.cleaning import clean_charges, dropped_currency_audit, naive_utc
-from cashtide.operators.profiles import category_summary
+from cashtide.operators.profiles import by_total, category_summary
 from cashtide.sources import charge_feed
 
 
@@ -127,6 +127,8 @@ def test_long_and_wide_are_inverse(charges, settings):
 
 def test_category_summary_shares_come_from_rounded_totals(charges, settings):
     rows = {r["category"]: r for r in category_summary(clean_charges(charges, settings)).collect()}
+    ordered = by_total(category_summary(clean_charges(charges, settings))).collect()
+    assert [r["category"] for r in ordered] == ["one_time", "recurring"]
     assert rows["recurring"]["transactions"] == 2
     assert rows["recurring"]["total"] == 948.0
     assert rows["one_time"]["share_pct"] == 69.9
