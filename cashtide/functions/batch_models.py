@@ -130,70 +130,6 @@ def fit_ets(y: np.ndarray, h: int, m: int) -> list:
     return [(p.tolist(), s.tolist(), float(a), spec) for a, (p, s, spec) in best]
 
 
-# ---- theta -----------------------------------------------------------------------------------
-
-
-def _seasonal_indices(y: np.ndarray, m: int, ratio: np.ndarray) -> np.ndarray:
-    """Classical seasonal indices of every row: ratios where ``ratio``, else differences."""
-    rows, n = y.shape
-    kernel = np.r_[0.5, np.ones(m - 1), 0.5] / m
-    trend = np.stack([np.convolve(row, kernel, mode="valid") for row in y])
-    inner = y[:, m // 2 : n - m // 2]
-    safe = np.where(trend == 0, 1.0, trend)
-    effect = np.where(ratio[:, None], inner / safe, inner - trend)
-    slots = (np.arange(inner.shape[1]) + m // 2) % m
-    index = np.stack([effect[:, slots == s].mean(axis=1) for s in range(m)], axis=1)
-    centre = index.mean(axis=1, keepdims=True)
-    return np.where(ratio[:, None], index / np.where(centre == 0, 1.0, centre), index - centre)
-
-
-def fit_theta(y: np.ndarray, h: int, m: int) -> list:
-    """Classical theta: seasonally adjusted smoothing plus half the linear trend."""
-    rows, n = y.shape
-    seasonal = np.zeros(rows, dtype=bool)
-    index = np.zeros((rows, m))
-    ratio = (y > 0).all(axis=1)
-    if n >= 2 * m + 1:
-        d = y - y.mean(axis=1, keepdims=True)
-        power = np.maximum((d * d).sum(axis=1), 1e-12)
-        r = np.stack([(d[:, k:] * d[:, : n - k]).sum(axis=1) / power for k in range(1, m + 1)], axis=1)
-        bound = 1.645 * np.sqrt((1 + 2 * (r[:, :-1] ** 2).sum(axis=1)) / n)
-        seasonal = np.abs(r[:, -1]) > bound
-        index = _seasonal_indices(y, m, ratio)
-    neutral = np.where(ratio, 1.0, 0.0)[:, None]
-    index = np.where(seasonal[:, None], index, neutral)
-    index = np.where(ratio[:, None] & (index <= 0), 1.0, index)
-    full = index[:, np.arange(n) % m]
-    x = np.where(ratio[:, None], y / np.where(ratio[:, None], full, 1.0), y - full)
-    alphas = np.repeat(np.linspace(0.02, 0.98, 25)[None], rows, axis=0)
-    for width in (0.02, 0.005):
-        level = np.repeat(x[:, :1], alphas.shape[1], axis=1)
-        sse = np.zeros_like(alphas)
-        for t in range(1, n):
-            error = x[:, t, None] - level
-            sse += error * error
-            level = level + alphas * error
-        pick = sse.argmin(axis=1)
-        alpha, best_sse, last = _pick(alphas, pick), _pick(sse, pick), _pick(level, pick)
-        alphas = np.clip(alpha[:, None] + np.linspace(-width, width, 9)[None], 0.01, 0.99)
-    time = np.arange(n) - (n - 1) / 2
-    slope = (x * time).sum(axis=1) / max((time * time).sum(), 1e-12)
-    steps = np.arange(1, h + 1)
-    a = alpha[:, None]
-    drift = 0.5 * slope[:, None] * (steps - 1 + (1 - (1 - a) ** n) / a)
-    sigma = np.sqrt(best_sse / max(n - 2, 1))[:, None]
-    ahead = index[:, (n + steps - 1) % m]
-    scale = np.where(ratio[:, None], ahead, 1.0)
-    shift = np.where(ratio[:, None], 0.0, ahead)
-    point = (last[:, None] + drift) * scale + shift
-    spread = sigma * np.sqrt(1 + (steps - 1) * a * a) * np.abs(scale)
-    score = _aicc(best_sse, n, 3)
-    return [
-        (point[r].tolist(), spread[r].tolist(), float(score[r]), "Theta(seasonal)" if seasonal[r] else "Theta")
-        for r in range(rows)
-    ]
-
-
 # ---- ARIMA -----------------------------------------------------------------------------------
 
 
@@ -430,14 +366,6 @@ def ets_udf(horizon: int, season: int):
     return ets
 
 
-def theta_udf(horizon: int, season: int):
-    @F.pandas_udf(FIT_TYPE)
-    def theta(ys: pd.Series) -> pd.DataFrame:
-        return _frame(_by_length(ys, lambda y, _: fit_theta(y, horizon, season)))
-
-    return theta
-
-
 def arima_udf(horizon: int, season: int):
     """Arguments: values, position of the step (NULL for none), d, D, p, q of one candidate."""
 

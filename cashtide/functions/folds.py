@@ -28,6 +28,11 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
+def not_negative(value: Column) -> Column:
+    """Clipped at 0. Unlike ``greatest``, a missing value stays missing."""
+    return F.when(value < 0, _zero()).otherwise(value)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, _zero(), lambda acc, v: acc + v)
 

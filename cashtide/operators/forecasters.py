@@ -23,8 +23,8 @@ def _steps(horizon: int) -> Column:
     return F.sequence(F.lit(1), F.lit(horizon))
 
 
-def _point_struct(step: Column, yhat: Column, spread: Column | None, clip: bool = True) -> Column:
-    floor = (lambda v: F.greatest(v, F.lit(0.0))) if clip else (lambda v: v)
+def _point_struct(step: Column, yhat: Column, spread: Column | None) -> Column:
+    floor = folds.not_negative
     spread = F.lit(None).cast("double") if spread is None else spread
     return F.struct(
         step.cast("int").alias("step"),
@@ -234,7 +234,7 @@ def croston_rates(demand: DataFrame, n_months: Column) -> DataFrame:
 def with_bounds(rates: DataFrame) -> DataFrame:
     """Adds the 80 and 95 % bounds of a flat rate."""
     rate, spread = F.col("rate"), F.col("spread")
-    band = lambda z: (F.greatest(rate - F.lit(z) * spread, F.lit(0.0)), rate + F.lit(z) * spread)
+    band = lambda z: (folds.not_negative(rate - F.lit(z) * spread), rate + F.lit(z) * spread)
     (lo80, hi80), (lo95, hi95) = band(Z80), band(Z95)
     return rates.select(
         "*", lo80.alias("lo80"), hi80.alias("hi80"), lo95.alias("lo95"), hi95.alias("hi95")
@@ -270,7 +270,7 @@ def combine_paths(a: Column, b: Column, c: Column, bounds: str) -> Column:
     use plain means.
     """
     trio = F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c"))
-    clipped = lambda v: F.greatest(v, F.lit(0.0))
+    clipped = folds.not_negative
 
     def merge(t: Column) -> Column:
         values = lambda name: F.array(t["a"][name], t["b"][name], t["c"][name])

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions import batch_models
+from cashtide.functions import batch_models, folds
+from cashtide.functions.theta import theta
 from cashtide.operators import forecasters
 from cashtide.operators.backtest import compare_paths, cv_windows
 from cashtide.operators.forecasters import explode_path, last_known_month
@@ -35,8 +36,8 @@ def spread_out(df: DataFrame, *keys: str) -> DataFrame:
 def fit_path(fit: Column) -> Column:
     """Path of a fitted member from its points and standard errors."""
 
-    def at(value: Column, i: Column) -> Column:
-        se = F.get(fit["se"], i)
+    def at(value: Column, i: Column, errors: Column) -> Column:
+        se = F.get(errors, i)
         return F.struct(
             (i + 1).cast("int").alias("step"),
             value.alias("yhat"),
@@ -46,7 +47,9 @@ def fit_path(fit: Column) -> Column:
             (value + F.lit(Q95) * se).alias("hi95"),
         )
 
-    return F.transform(fit["yhat"], at)
+    return folds.let(
+        fit, lambda f: F.transform(f["yhat"], lambda value, i: at(value, i, f["se"]))
+    )
 
 
 def ets_fit(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
@@ -56,7 +59,7 @@ def ets_fit(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
 
 def theta_fit(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
     """Adds ``theta``: the theta forecast of every row's ``ys``."""
-    return rows.withColumn("theta", batch_models.theta_udf(horizon, settings.season)("ys"))
+    return rows.withColumn("theta", theta(F.col("ys"), horizon, settings.season))
 
 
 def step_position(rows: DataFrame) -> Column:

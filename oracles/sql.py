@@ -699,6 +699,87 @@ STATEMENTS: dict[str, str] = {
                sum(CAST(value AS DECIMAL(18,2))) AS total FROM events GROUP BY 1, 2""",
 }
 
+# Tail of the chi-square by the series of the incomplete gamma function.
+STATEMENTS["ljung_box_p"] = f"""
+    WITH tested AS ({STATEMENTS["ljung_box_q"]}),
+    tails AS (
+        SELECT t.series_id, t.model, t.lag,
+               1 - sum(exp((t.lag / 2.0 + k) * ln(t.q / 2) - t.q / 2 - lgamma(t.lag / 2.0 + k + 1))) AS p
+        FROM tested t, range(0, 2000) r(k) WHERE t.q > 0 GROUP BY 1, 2, 3)
+    SELECT series_id, model, min(CASE WHEN p < 0 THEN 0 ELSE p END) AS ljung_box_p FROM (
+        SELECT * FROM tails UNION ALL
+        SELECT series_id, model, lag, CASE WHEN q IS NULL THEN NULL ELSE 1 END FROM tested
+        WHERE q IS NULL OR q <= 0)
+    GROUP BY 1, 2"""
+
+_SMOOTHING = """{name} AS (
+        SELECT {start}
+        UNION ALL
+        SELECT s.id, s.alpha, s.t + 1, s.level + s.alpha * (x.x - s.level),
+               s.sse + (x.x - s.level) * (x.x - s.level)
+        FROM {name} s JOIN adjusted x ON x.id = s.id AND x.idx = s.t + 1),
+    {name}_best AS (
+        SELECT * FROM (
+            SELECT s.*, row_number() OVER (PARTITION BY s.id ORDER BY s.sse, s.alpha) AS place
+            FROM {name} s, span WHERE s.t = n - 1) WHERE place = 1)"""
+
+_COARSE = _SMOOTHING.format(
+    name="coarse",
+    start="""id, round(0.02::DOUBLE + 0.04::DOUBLE * i, 2) AS alpha, CAST(0 AS BIGINT) AS t,
+               x AS level, 0.0::DOUBLE AS sse FROM adjusted, range(25) r(i) WHERE idx = 0""",
+)
+_FINE = _SMOOTHING.format(
+    name="fine",
+    start="""a.id, least(greatest(b.alpha + 0.005::DOUBLE * i, 0.01), 0.99)::DOUBLE AS alpha,
+               CAST(0 AS BIGINT) AS t, a.x AS level, 0.0::DOUBLE AS sse
+        FROM adjusted a JOIN coarse_best b ON b.id = a.id, range(-4, 5) r(i) WHERE a.idx = 0""",
+)
+
+STATEMENTS["theta"] = f"""WITH RECURSIVE {GROUP},
+    {autocorrelation("SELECT series_id AS id, idx, y FROM filled", 12)},
+    kinds AS (
+        SELECT f.series_id AS id, bool_and(f.y > 0) AS ratio,
+               any_value(t.n >= 25 AND coalesce(t.seasonal, FALSE)) AS seasonal
+        FROM filled f JOIN (
+            SELECT id, any_value(n) AS n,
+                   abs(sum(r) FILTER (lag = 12)) > 1.645::DOUBLE * sqrt(
+                       (1 + 2 * sum(r * r) FILTER (lag BETWEEN 1 AND 11)) / any_value(n)) AS seasonal
+            FROM acf GROUP BY 1) t ON t.id = f.series_id
+        GROUP BY 1),
+    averaged AS (
+        SELECT series_id AS id, idx, y,
+               (sum(y) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+                + 0.5 * (lag(y, 6) OVER w + lead(y, 6) OVER w)) / 12 AS trend
+        FROM filled WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+    slots AS (
+        SELECT a.id, a.idx % 12 AS slot,
+               avg(CASE WHEN k.ratio THEN a.y / CASE WHEN a.trend = 0 THEN 1 ELSE a.trend END
+                        ELSE a.y - a.trend END) AS raw
+        FROM averaged a JOIN kinds k ON k.id = a.id WHERE a.trend IS NOT NULL GROUP BY 1, 2),
+    centred_slots AS (
+        SELECT s.id, s.slot, k.ratio, k.seasonal,
+               CASE WHEN k.ratio THEN s.raw / avg(s.raw) OVER (PARTITION BY s.id)
+                    ELSE s.raw - avg(s.raw) OVER (PARTITION BY s.id) END AS v
+        FROM slots s JOIN kinds k ON k.id = s.id),
+    indices AS (
+        SELECT id, slot, ratio, seasonal,
+               CASE WHEN seasonal THEN CASE WHEN ratio AND v <= 0 THEN 1 ELSE v END
+                    WHEN ratio THEN 1 ELSE 0 END AS v
+        FROM centred_slots),
+    adjusted AS (
+        SELECT f.series_id AS id, f.idx, CASE WHEN i.ratio THEN f.y / i.v ELSE f.y - i.v END AS x
+        FROM filled f JOIN indices i ON i.id = f.series_id AND i.slot = f.idx % 12),
+    {_COARSE},
+    {_FINE},
+    slopes AS (SELECT id, coalesce(regr_slope(x, idx), 0) AS slope FROM adjusted GROUP BY 1),
+    fits AS (SELECT b.*, s.slope, n FROM fine_best b JOIN slopes s ON s.id = b.id, span)
+    SELECT f.id AS series_id, CASE WHEN i.seasonal THEN 'Theta(seasonal)' ELSE 'Theta' END AS spec,
+           n * ln(greatest(f.sse / n, 1e-12)) + 6 + 24.0 / (n - 4) AS aicc, step,
+           (f.level + 0.5 * f.slope * (step - 1 + (1 - pow(1 - f.alpha, n)) / f.alpha))
+               * CASE WHEN i.ratio THEN i.v ELSE 1 END + CASE WHEN i.ratio THEN 0 ELSE i.v END AS yhat
+    FROM fits f, range(1, 13) r(step), indices i
+    WHERE i.id = f.id AND i.slot = (n + step - 1) % 12"""
+
 _RATES = f"""WITH {SUMS['payer']}, {SPAN},
     calendar AS (SELECT 1), filled AS (SELECT 1),
     training AS (

@@ -83,6 +83,7 @@ def test_baselines(make_arrays):
     assert [p["yhat"] for p in drift] == [31, 32, 33]
     mean = one_path(arrays, forecasters.mean_path(F.col("ys"), 1, CALM))
     assert mean[0]["yhat"] == 15.5
+    assert all(mean[0][bound] is None for bound in ("lo80", "hi80", "lo95", "hi95"))
     assert naive[0]["hi80"] - naive[0]["yhat"] == pytest.approx(1.28 * 12)
     assert naive[12]["hi80"] - naive[12]["yhat"] == pytest.approx(1.28 * 12 * math.sqrt(2))
 

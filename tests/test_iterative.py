@@ -118,16 +118,68 @@ def test_members_recover_simple_processes():
     point = batch_models.fit_ets(trend, 3, 12)[0][0]
     assert np.allclose(point, [125, 127, 129], atol=0.5)
     season = np.tile(SEASON, 6).astype(float)[None]
-    for fit in (batch_models.fit_ets, batch_models.fit_theta):
-        assert np.allclose(fit(season, 12, 12)[0][0], SEASON, atol=1.0)
+    assert np.allclose(batch_models.fit_ets(season, 12, 12)[0][0], SEASON, atol=1.0)
+
+
+def slow_theta(y, h, m=12):
+    """Theta in plain numpy."""
+    y, n = np.asarray(y, dtype=float), len(y)
+    ratio, seasonal = bool((y > 0).all()), False
+    index = np.full(m, 1.0 if ratio else 0.0)
+    d = y - y.mean()
+    if n >= 2 * m + 1 and (d * d).sum() > 0:
+        r = np.array([(d[k:] * d[: n - k]).sum() / (d * d).sum() for k in range(1, m + 1)])
+        seasonal = abs(r[-1]) > 1.645 * np.sqrt((1 + 2 * (r[:-1] ** 2).sum()) / n)
+    if seasonal:
+        kernel = np.r_[0.5, np.ones(m - 1), 0.5] / m
+        trend, inner = np.convolve(y, kernel, "valid"), y[m // 2 : n - m // 2]
+        effect = inner / trend if ratio else inner - trend
+        slots = (np.arange(len(inner)) + m // 2) % m
+        index = np.array([effect[slots == s].mean() for s in range(m)])
+        index = index / index.mean() if ratio else index - index.mean()
+    season = index[np.arange(n) % m]
+    x = y / season if ratio else y - season
+
+    def run(alpha):
+        level, sse = x[0], 0.0
+        for v in x[1:]:
+            sse, level = sse + (v - level) ** 2, level + alpha * (v - level)
+        return sse, alpha, level
+
+    _, alpha, _ = min(run(0.02 + 0.04 * i) for i in range(25))
+    _, alpha, level = min(run(min(max(alpha + 0.005 * i, 0.01), 0.99)) for i in range(-4, 5))
+    time = np.arange(n) - (n - 1) / 2
+    slope = (x * time).sum() / (time**2).sum()
+    steps = np.arange(1, h + 1)
+    point = level + 0.5 * slope * (steps - 1 + (1 - (1 - alpha) ** n) / alpha)
+    ahead = index[(n + steps - 1) % m]
+    return point * ahead if ratio else point + ahead
+
+
+def test_theta_equals_a_plain_loop(make_arrays):
+    rng = np.random.default_rng(6)
+    series = {
+        "season": seasonal_series(), "noise": rng.normal(50, 9, 40), "zeros": rng.uniform(0, 9, 60).round() * 2.0,
+        "signed": np.array(seasonal_series(seed=3)) - 130, "short": [3.0, 5.0, 4.0, 8.0],
+    }
+    rows = iterative.theta_fit(make_arrays(series), 14, CALM).select("series_id", "theta.*").collect()
+    for r in rows:
+        assert np.allclose(r["yhat"], slow_theta(series[r["series_id"]], 14)), r["series_id"]
+        assert (r["spec"] == "Theta(seasonal)") == (r["series_id"] in ("season", "signed"))
+        assert all(b >= a > 0 for a, b in zip(r["se"][:12], r["se"][12:]))
+
+
+def test_theta_recovers_a_season(make_arrays):
+    season = make_arrays({"a": SEASON * 6})
+    fit = iterative.theta_fit(season, 12, CALM).first()["theta"]
+    assert np.allclose(fit["yhat"], SEASON, atol=1.0)
 
 
 def test_rows_of_a_batch_do_not_influence_each_other():
     a, b = np.array([seasonal_series(seed=1)]), np.array([seasonal_series(seed=2)])
     both = np.vstack([a, b])
-    for fit in (batch_models.fit_ets, batch_models.fit_theta):
-        together, alone = fit(both, 6, 12), fit(b, 6, 12)[0]
-        assert np.allclose(together[1][0], alone[0]) and together[1][3] == alone[3]
+    together, alone = batch_models.fit_ets(both, 6, 12), batch_models.fit_ets(b, 6, 12)[0]
+    assert np.allclose(together[1][0], alone[0]) and together[1][3] == alone[3]
 
 
 def test_step_regressor_follows_a_level_shift():
