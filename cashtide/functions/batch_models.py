@@ -73,61 +73,62 @@ def _pick(values: np.ndarray, best: np.ndarray) -> np.ndarray:
     return values[np.arange(len(best)), best]
 
 
-def fit_ets(y: np.ndarray, h: int, m: int) -> list:
-    """Additive-error smoothing; trend none, additive or damped; season none or additive."""
+def _ets_start(y: np.ndarray, m: int, with_trend: bool, with_season: bool):
+    """Level, slope and season before the first month, from the first two seasons."""
     rows, n = y.shape
-    best = [(np.inf, None)] * rows
-    seasonal_possible = n >= 2 * m
-    for trend_kind in ("N", "A", "Ad"):
-        for season_kind in ("N", "A") if seasonal_possible else ("N",):
-            with_trend, with_season = trend_kind != "N", season_kind == "A"
-            period = m if with_season else 1
-            head = y[:, : min(n, m)].mean(axis=1) if seasonal_possible else y[:, 0]
-            slope = (
-                (y[:, m : 2 * m].mean(axis=1) - head) / m
-                if seasonal_possible
-                else (y[:, -1] - y[:, 0]) / max(n - 1, 1)
-            ) * with_trend
-            level = head - slope * ((m + 1) / 2 if seasonal_possible else 1)
-            season = np.zeros((rows, period))
-            if with_season:
-                two = y[:, : 2 * m].reshape(rows, 2, m)
-                ramp = slope[:, None] * (np.arange(m) - (m - 1) / 2)
-                season = (two - two.mean(axis=2, keepdims=True)).mean(axis=1) - ramp
-            damped = trend_kind == "Ad"
-            coarse = _ets_grid(with_trend, damped, with_season)
-            grid = np.repeat(coarse[None], rows, axis=0)
-            highest = [0.999, 0.999, 0.999, 0.98 if damped else 1.0]
-            width = np.array([0.1, 0.08 * with_trend, 0.08 * with_season, 0.04 * damped])
-            for _ in range(3):  # coarse grid, then two local refinements
-                sse = _smooth(y, level, slope, season, grid)[3]
-                centre = _pick(grid, sse.argmin(axis=1))
-                moves = np.array(np.meshgrid(*[[-w, 0.0, w] if w else [0.0] for w in width]))
-                grid = np.clip(
-                    centre[:, None, :] + moves.reshape(4, -1).T[None],
-                    [0.001, 0.0, 0.0, 0.0],
-                    highest,
-                )
-                width = width / 2
-            level_n, trend_n, season_n, sse = _smooth(y, level, slope, season, centre[:, None, :])
-            alpha, beta, gamma, phi = centre.T
-            sse = sse[:, 0]
-            k = 1 + 1 + 2 * with_trend + damped + with_season * m + 1
-            score = _aicc(sse, n, k)
-            sigma2 = sse / max(n - k, 1)
-            steps = np.arange(1, h + 1)
-            damping = np.cumsum(phi[:, None] ** steps[None], axis=1)
-            slots = (n + steps - 1) % period
-            point = level_n + damping * trend_n + season_n[:, 0][:, slots]
-            weight = alpha[:, None] + beta[:, None] * damping + gamma[:, None] * (steps % m == 0)
-            spread = np.sqrt(
-                sigma2[:, None]
-                * (1 + np.concatenate([np.zeros((rows, 1)), np.cumsum(weight**2, axis=1)[:, :-1]], axis=1))
-            )
-            for r in range(rows):
-                if score[r] < best[r][0] or best[r][1] is None:
-                    best[r] = (score[r], (point[r], spread[r], f"ETS(A,{trend_kind},{season_kind})"))
-    return [(p.tolist(), s.tolist(), float(a), spec) for a, (p, s, spec) in best]
+    if n < 2 * m:
+        slope = (y[:, -1] - y[:, 0]) / max(n - 1, 1) * with_trend
+        return y[:, 0] - slope, slope, np.zeros((rows, 1))
+    first = y[:, :m].mean(axis=1)
+    slope = (y[:, m : 2 * m].mean(axis=1) - first) / m * with_trend
+    season = np.zeros((rows, 1))
+    if with_season:
+        two = y[:, : 2 * m].reshape(rows, 2, m)
+        ramp = slope[:, None] * (np.arange(m) - (m - 1) / 2)
+        season = (two - two.mean(axis=2, keepdims=True)).mean(axis=1) - ramp
+    return first - slope * (m + 1) / 2, slope, season
+
+
+def _ets_search(y: np.ndarray, start: tuple, kind: tuple[bool, bool, bool]) -> np.ndarray:
+    """Smoothing parameters of every row: a coarse grid, then two searches around its best."""
+    with_trend, damped, with_season = kind
+    grid = np.repeat(_ets_grid(with_trend, damped, with_season)[None], len(y), axis=0)
+    lowest, highest = [0.001, 0.0, 0.0, 0.0], [0.999, 0.999, 0.999, 0.98 if damped else 1.0]
+    width = np.array([0.1, 0.08 * with_trend, 0.08 * with_season, 0.04 * damped])
+    for _ in range(3):
+        best = _pick(grid, _smooth(y, *start, grid)[3].argmin(axis=1))
+        moves = np.array(np.meshgrid(*[[-w, 0.0, w] if w else [0.0] for w in width]))
+        grid = np.clip(best[:, None, :] + moves.reshape(4, -1).T[None], lowest, highest)
+        width = width / 2
+    return best
+
+
+def fit_ets(y: np.ndarray, trend: str, season: str, h: int, m: int) -> list:
+    """Additive-error smoothing with trend 'N', 'A' or 'Ad' and season 'N' or 'A'."""
+    rows, n = y.shape
+    spec = f"ETS(A,{trend},{season})"
+    with_trend, damped, with_season = trend != "N", trend == "Ad", season == "A"
+    if with_season and n < 2 * m:
+        return [(None, None, float("inf"), spec)] * rows
+    start = _ets_start(y, m, with_trend, with_season)
+    best = _ets_search(y, start, (with_trend, damped, with_season))
+    level, slope, seasonal, sse = _smooth(y, *start, best[:, None, :])
+    sse, k = sse[:, 0], 3 + 2 * with_trend + damped + with_season * m
+    alpha, beta, gamma, phi = (column[:, None] for column in best.T)
+    steps = np.arange(1, h + 1)
+    damping = np.cumsum(phi**steps, axis=1)
+    point = level + damping * slope + seasonal[:, 0][:, (n + steps - 1) % seasonal.shape[2]]
+    weight = alpha + beta * damping + gamma * (steps % m == 0)
+    grown = 1 + np.cumsum(weight**2, axis=1) - weight**2
+    spread = np.sqrt(sse[:, None] / max(n - k, 1) * grown)
+    return _results(point, spread, _aicc(sse, n, k), spec)
+
+
+def _results(point: np.ndarray, spread: np.ndarray, score: np.ndarray, spec: str) -> list:
+    return [
+        (p.tolist(), s.tolist(), float(a), spec) if np.isfinite(a) else (None, None, float("inf"), spec)
+        for p, s, a in zip(point, spread, score, strict=True)
+    ]
 
 
 # ---- ARIMA -----------------------------------------------------------------------------------
@@ -228,12 +229,7 @@ def fit_arima(
             psi[:, j] -= poly[:, i] * psi[:, j - i]
     sigma2 = sse / max(tail - k, 1)
     spread = np.sqrt(sigma2[:, None] * np.cumsum(psi**2, axis=1))
-    return [
-        (point[r].tolist(), spread[r].tolist(), float(score[r]), spec)
-        if np.isfinite(score[r])
-        else (None, None, float("inf"), spec)
-        for r in range(rows)
-    ]
+    return _results(point, spread, score, spec)
 
 
 def _inside_triangle(c: np.ndarray) -> np.ndarray:
@@ -358,35 +354,46 @@ def _frame(fits: list) -> pd.DataFrame:
     return pd.DataFrame(fits, columns=["yhat", "se", "aicc", "spec"])
 
 
-def ets_udf(horizon: int, season: int):
+def _by_candidate(ys: pd.Series, candidates: pd.DataFrame, fit: Callable) -> pd.DataFrame:
+    """Fit every row with its own candidate: ``fit(matrix, candidate, positions)``."""
+    out: list = [None] * len(ys)
+    for candidate, rows in candidates.groupby(list(candidates.columns)).indices.items():
+        fits = _by_length(ys.iloc[rows], lambda y, at: fit(y, candidate, rows[at]))
+        for row, result in zip(rows, fits, strict=True):
+            out[row] = result
+    return _frame(out)
+
+
+def ets_udf(horizon: int, m: int):
+    """Arguments: values, trend and season of one candidate."""
+
     @F.pandas_udf(FIT_TYPE)
-    def ets(ys: pd.Series) -> pd.DataFrame:
-        return _frame(_by_length(ys, lambda y, _: fit_ets(y, horizon, season)))
+    def ets(ys: pd.Series, trend: pd.Series, season: pd.Series) -> pd.DataFrame:
+        return _by_candidate(
+            ys,
+            pd.DataFrame({"trend": trend, "season": season}),
+            lambda y, kind, _: fit_ets(y, *kind, horizon, m),
+        )
 
     return ets
 
 
-def arima_udf(horizon: int, season: int):
+def arima_udf(horizon: int, m: int):
     """Arguments: values, position of the step (NULL for none), d, D, p, q of one candidate."""
 
     @F.pandas_udf(FIT_TYPE)
     def arima(
         ys: pd.Series, step_at: pd.Series, d: pd.Series, sd: pd.Series, p: pd.Series, q: pd.Series
     ) -> pd.DataFrame:
-        out: list = [None] * len(ys)
-        orders = pd.DataFrame({"d": d, "sd": sd, "p": p, "q": q})
         where_step = step_at.to_numpy(dtype=float, na_value=np.nan)
-        for order, rows in orders.groupby(["d", "sd", "p", "q"]).indices.items():
 
-            def fit(y: np.ndarray, local: np.ndarray, rows=rows, order=order) -> list:
-                at = where_step[rows[local]]
-                at = np.where(np.isnan(at), y.shape[1], at)
-                step = (np.arange(y.shape[1])[None] >= at[:, None]).astype(float)
-                return fit_arima(y, step, order, horizon, season)
+        def fit(y: np.ndarray, order: tuple, rows: np.ndarray) -> list:
+            at = where_step[rows]
+            at = np.where(np.isnan(at), y.shape[1], at)
+            step = (np.arange(y.shape[1])[None] >= at[:, None]).astype(float)
+            return fit_arima(y, step, order, horizon, m)
 
-            for row, result in zip(rows, _by_length(ys.iloc[rows], fit), strict=True):
-                out[row] = result
-        return _frame(out)
+        return _by_candidate(ys, pd.DataFrame({"d": d, "sd": sd, "p": p, "q": q}), fit)
 
     return arima
 

@@ -21,6 +21,7 @@ ENSEMBLE = "ensemble"
 Q80, Q95 = 1.2815515655446004, 1.959963984540054
 
 # Candidate orders (d, D, p, q).
+ETS_KINDS = [(trend, season) for trend in ("N", "A", "Ad") for season in ("N", "A")]
 ARIMA_ORDERS = [(d, sd, p, q) for d in (0, 1) for sd in (0, 1) for p in (0, 1, 2) for q in (0, 1, 2)]
 
 
@@ -52,11 +53,6 @@ def fit_path(fit: Column) -> Column:
     )
 
 
-def ets_fit(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
-    """Adds ``ets``: the AICc-best smoothing model of every row's ``ys``."""
-    return rows.withColumn("ets", batch_models.ets_udf(horizon, settings.season)("ys"))
-
-
 def theta_fit(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
     """Adds ``theta``: the theta forecast of every row's ``ys``."""
     return rows.withColumn("theta", theta(F.col("ys"), horizon, settings.season))
@@ -69,53 +65,76 @@ def step_position(rows: DataFrame) -> Column:
     return months_between(F.col("first_month"), F.col("break_month"))
 
 
-def arima_candidates(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
-    """One row per input row and candidate order, each fitted: ``order`` and ``arima``."""
-    grid = F.array(
+def _grid(names: tuple[str, ...], candidates: list[tuple]) -> Column:
+    return F.array(
         *[
-            F.struct(*[F.lit(v).alias(k) for k, v in zip(("d", "sd", "p", "q"), order, strict=True)])
-            for order in ARIMA_ORDERS
+            F.struct(*[F.lit(v).alias(k) for k, v in zip(names, candidate, strict=True)])
+            for candidate in candidates
         ]
     )
+
+
+def arima_candidates(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
+    """One row per input row and candidate order, each fitted: column ``arima``."""
     fit = batch_models.arima_udf(horizon, settings.season)
+    names = ("d", "sd", "p", "q")
     return (
         rows.withColumn("step_at", step_position(rows))
-        .withColumn("order", F.explode(grid))
-        .withColumn(
-            "arima",
-            fit("ys", "step_at", F.col("order.d"), F.col("order.sd"), F.col("order.p"), F.col("order.q")),
-        )
-        .drop("step_at")
+        .withColumn("_candidate", F.explode(_grid(names, ARIMA_ORDERS)))
+        .withColumn("arima", fit("ys", "step_at", *[F.col(f"_candidate.{k}") for k in names]))
+        .drop("step_at", "_candidate")
     )
 
 
-def arima_fit(rows: DataFrame, keys: tuple[str, ...], horizon: int, settings: Settings) -> DataFrame:
-    """Adds ``arima``: the candidate with the lowest AICc.
+def ets_candidates(rows: DataFrame, horizon: int, settings: Settings) -> DataFrame:
+    """One row per input row and smoothing model, each fitted: column ``ets``."""
+    fit = batch_models.ets_udf(horizon, settings.season)
+    names = ("trend", "season")
+    return (
+        rows.withColumn("_candidate", F.explode(_grid(names, ETS_KINDS)))
+        .withColumn("ets", fit("ys", *[F.col(f"_candidate.{k}") for k in names]))
+        .drop("_candidate")
+    )
+
+
+def best_candidate(fitted: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """The candidate with the lowest AICc per key; the other columns stay.
 
     Candidates of a row are exploded in place, so the minimum is mostly found before any shuffle
     and rows already partitioned by their keys do not move.
     """
-    others = [c for c in rows.columns if c not in keys]
-    fitted = arima_candidates(rows, horizon, settings)
-    usable = F.when(F.col("arima.yhat").isNotNull(), F.col("arima.aicc"))
+    others = [c for c in fitted.columns if c not in (*keys, name)]
+    usable = F.when(F.col(f"{name}.yhat").isNotNull(), F.col(f"{name}.aicc"))
     return fitted.groupBy(*keys).agg(
-        F.min_by("arima", usable).alias("arima"), *[F.first(c).alias(c) for c in others]
+        F.min_by(name, usable).alias(name), *[F.first(c).alias(c) for c in others]
     )
 
 
+def arima_fit(rows: DataFrame, keys: tuple[str, ...], horizon: int, settings: Settings) -> DataFrame:
+    """Adds ``arima``, the AICc-best order; NULL for rows too short for every order."""
+    return best_candidate(arima_candidates(rows, horizon, settings), keys, "arima")
+
+
+def ets_fit(rows: DataFrame, keys: tuple[str, ...], horizon: int, settings: Settings) -> DataFrame:
+    """Adds ``ets``, the AICc-best smoothing model; NULL for rows too short for every model."""
+    return best_candidate(ets_candidates(rows, horizon, settings), keys, "ets")
+
+
 def ensemble_paths(
     rows: DataFrame, keys: tuple[str, ...], horizon: int, settings: Settings, bounds: str
 ) -> DataFrame:
     """Adds ``path``, the combination of ARIMA, ETS and theta; ``bounds`` as in combine_paths.
 
-    A row too short for any ARIMA order takes ETS in its place.
+    A row too short for any order or smoothing model takes theta in its place.
     """
     members = arima_fit(spread_out(rows, *keys), keys, horizon, settings)
-    members = theta_fit(ets_fit(members, horizon, settings), horizon, settings)
-    # The member columns must be plain columns before the paths read them several times.
-    first = F.coalesce(F.col("arima"), F.col("ets"))
+    members = theta_fit(ets_fit(members, keys, horizon, settings), horizon, settings)
     combined = forecasters.combine_paths(
-        fit_path(first), fit_path(F.col("ets")), fit_path(F.col("theta")), bounds
+        *[
+            fit_path(F.coalesce(F.col(member), F.col("theta")))
+            for member in ("arima", "ets", "theta")
+        ],
+        bounds,
     )
     return members.withColumn("path", combined)
 
@@ -151,9 +170,9 @@ def ensemble_forecast(
 def member_facts(arrays: DataFrame, settings: Settings) -> DataFrame:
     """Selected orders and AICc of every member, with months trained on and non-zero share."""
     rows = spread_out(arrays, "series_id")
-    fitted = theta_fit(
-        ets_fit(arima_fit(rows, ("series_id",), 1, settings), 1, settings), 1, settings
-    )
+    keys = ("series_id",)
+    fitted = ets_fit(arima_fit(rows, keys, 1, settings), keys, 1, settings)
+    fitted = theta_fit(fitted, 1, settings)
     nonzero = F.size(F.filter("ys", lambda y: y > 0)) / F.size("ys") * 100
     break_month = (
         F.col("break_month") if "break_month" in arrays.columns else F.lit(None).cast("date")

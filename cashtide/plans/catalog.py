@@ -714,7 +714,7 @@ def arima_grid(spark, sf_dir):
 @query("series_id spec aicc~3 step# yhat~2")
 def ets_grid(spark, sf_dir):
     rows = iterative.spread_out(group_arrays(spark, sf_dir), "series_id")
-    return _fit_rows(iterative.ets_fit(rows, 12, DEMO), "ets")
+    return _fit_rows(iterative.ets_fit(rows, ("series_id",), 12, DEMO), "ets")
 
 
 @query("series_id spec aicc~3 step# yhat~2")
