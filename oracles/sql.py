@@ -780,6 +780,43 @@ STATEMENTS["theta"] = f"""WITH RECURSIVE {GROUP},
     FROM fits f, range(1, 13) r(step), indices i
     WHERE i.id = f.id AND i.slot = (n + step - 1) % 12"""
 
+# Exact segmentation by dynamic programming over the grid of admissible ends. The kernel is summed
+# per pair of grid cells first, so that a segment's cost is a sum over whole cells.
+STATEMENTS["breaks"] = f"""WITH RECURSIVE {GROUP},
+    pairs AS (
+        SELECT a.series_id AS id, a.idx AS i, b.idx AS j, (a.y - b.y) * (a.y - b.y) AS d
+        FROM filled a JOIN filled b ON b.series_id = a.series_id),
+    widths AS (SELECT id, median(d) AS w FROM pairs WHERE i < j GROUP BY 1),
+    cells AS (
+        SELECT p.id, CAST(p.i // 5 AS INTEGER) AS a, CAST(p.j // 5 AS INTEGER) AS b,
+               sum(CASE WHEN i = j THEN 1.0 ELSE exp(-least(greatest(
+                   d / CASE WHEN w = 0 THEN 1 ELSE w END, 0.01), 100)) END) AS g
+        FROM pairs p JOIN widths u ON u.id = p.id GROUP BY 1, 2, 3),
+    segments AS (
+        SELECT s.i AS seg_a, e.i AS seg_b, s.i * 5 AS from_idx, least((e.i + 1) * 5, n) AS to_idx
+        FROM span, range(0, 16) s(i), range(0, 16) e(i) WHERE e.i >= s.i),
+    costs AS (
+        SELECT c.id, s.seg_a, s.seg_b, (to_idx - from_idx) - sum(g) / (to_idx - from_idx) + 1.0 AS cost
+        FROM cells c JOIN segments s ON c.a BETWEEN s.seg_a AND s.seg_b AND c.b BETWEEN s.seg_a AND s.seg_b
+        GROUP BY c.id, s.seg_a, s.seg_b, to_idx, from_idx),
+    by_last AS (SELECT id, seg_b, list(cost ORDER BY seg_a) AS cost FROM costs GROUP BY 1, 2),
+    table_of AS (SELECT id, list(cost ORDER BY seg_b) AS costs FROM by_last GROUP BY 1),
+    steps AS (
+        SELECT id, costs, 0 AS k, [0.0::DOUBLE] AS best, CAST([] AS BIGINT[]) AS origin FROM table_of
+        UNION ALL
+        SELECT id, costs, k + 1, list_append(best, list_min(tried)),
+               list_append(origin, CAST(list_position(tried, list_min(tried)) AS BIGINT))
+        FROM (SELECT *, list_transform(range(1, k + 2), lambda j: best[j] + costs[k + 1][j]) AS tried
+              FROM steps WHERE k < len(costs))),
+    solved AS (SELECT id, origin, len(costs) AS cells FROM steps WHERE k = len(costs)),
+    walk AS (
+        SELECT id, origin, cells AS pos FROM solved
+        UNION ALL
+        SELECT id, origin, origin[pos] - 1 FROM walk WHERE pos > 0 AND origin[pos] > 1)
+    SELECT w.id AS series_id, w.pos * 5 AS segment_end,
+           CAST(DATE '1995-01-01' + to_months(CAST(w.pos * 5 - 1 AS INTEGER)) AS DATE) AS month
+    FROM walk w JOIN solved s ON s.id = w.id WHERE w.pos < s.cells"""
+
 _RATES = f"""WITH {SUMS['payer']}, {SPAN},
     calendar AS (SELECT 1), filled AS (SELECT 1),
     training AS (

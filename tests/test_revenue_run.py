@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cashtide import Settings
 from cashtide.operators.contracts import ContractError
 from cashtide.operators.selection import RegressionError
-from cashtide.plans import pipeline
+from cashtide.plans import revenue_run
 from cashtide.sources import run_log
 
 SETTINGS = Settings(
@@ -39,7 +39,7 @@ def history(spark):
 def published(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("published"))
     charges = history(spark)
-    outcome = pipeline.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
+    outcome = revenue_run.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
     return root, charges, outcome
 
 
@@ -74,7 +74,7 @@ def test_run_record(spark, published):
 
 def test_same_input_and_code_is_a_no_op(published):
     root, charges, _ = published
-    assert pipeline.run(charges, SETTINGS, root, code_version="c1", run_id="r2").skipped
+    assert revenue_run.run(charges, SETTINGS, root, code_version="c1", run_id="r2").skipped
 
 
 def test_hard_regression_blocks_before_the_forecast(spark, published):
@@ -91,7 +91,7 @@ def test_hard_regression_blocks_before_the_forecast(spark, published):
     )
     before = run_log.latest_version(spark, root, "forecast_12m")
     with pytest.raises(RegressionError):
-        pipeline.run(worse, SETTINGS, root, code_version="c1", run_id="r3")
+        revenue_run.run(worse, SETTINGS, root, code_version="c1", run_id="r3")
     assert run_log.latest_version(spark, root, "forecast_12m") == before
     assert run_log.last_run(spark, f"{root}/runs")["run_id"] == "r1"
 
@@ -100,13 +100,13 @@ def test_invalid_input_stops_the_run(spark, published, tmp_path):
     _, charges, _ = published
     bad = charges.withColumn("created", F.lit(datetime(2099, 1, 1)).cast("timestamp_ntz"))
     with pytest.raises(ContractError, match="created_in_range"):
-        pipeline.run(bad, SETTINGS, str(tmp_path), code_version="c1")
+        revenue_run.run(bad, SETTINGS, str(tmp_path), code_version="c1")
 
 
 def test_nothing_left_after_cleaning_stops_the_run(published, tmp_path):
     _, charges, _ = published
     with pytest.raises(ContractError, match="no rows survived"):
-        pipeline.run(
+        revenue_run.run(
             charges.withColumn("status", F.lit("Refunded")), SETTINGS, str(tmp_path), code_version="c1"
         )
 
@@ -116,7 +116,7 @@ def test_any_column_can_name_the_series(spark, tmp_path):
         "shop", F.concat(F.lit("shop-"), (F.dayofmonth("created") + F.month("created") % 2).cast("string"))
     )
     root = str(tmp_path)
-    outcome = pipeline.run(charges, SETTINGS, root, code_version="c1", by="shop")
+    outcome = revenue_run.run(charges, SETTINGS, root, code_version="c1", by="shop")
     assert outcome.months == 72
     table = run_log.read_latest(spark, root, "evaluation").collect()
     assert {r["series_id"] for r in table} == {"shop-10", "shop-11"}
