@@ -404,7 +404,7 @@ def score_requests(spark, sf_dir):
     return scored_requests(spark, sf_dir)
 
 
-@query("series_id prior_mase~4 mase~4 baseline_mase~4 ratio~6 verdict")
+@query("series_id prior_mase~4 mase~4 baseline_mase~4 ratio~5 verdict")
 def regression_gate(spark, sf_dir):
     table = group_evaluation(spark, sf_dir)
     slot = F.length("series_id") % 3
@@ -627,9 +627,9 @@ def _cv(model):
 for _key, _model, _bounds in (
     ("cv_snaive", "seasonal_naive", ""),
     ("cv_croston", "croston", ""),
-    ("cv_level", "level", " lo80~4 hi80~4"),
+    ("cv_level", "level", " lo80~3 hi80~3"),
 ):
-    query(f"series_id model train_end# step# month@ y~2 yhat~4{_bounds}", _key)(_cv(_model))
+    query(f"series_id model train_end# step# month@ y~2 yhat~3{_bounds}", _key)(_cv(_model))
 
 
 @query("series_id model n# mase~6")
@@ -642,7 +642,7 @@ def metric_rmse(spark, sf_dir):
     return group_scores(spark, sf_dir)
 
 
-@query("series_id model winkler80~4")
+@query("series_id model winkler80~3")
 def metric_winkler(spark, sf_dir):
     return scores.score(group_results(spark, sf_dir, ("level",)))
 
