@@ -526,7 +526,7 @@ def croston(spark, sf_dir):
     return payer_rates(spark, sf_dir)
 
 
-@query("series_id# rate~4 spread~4 lo80~4 hi80~4 lo95~4 hi95~4")
+@query("series_id# rate~5 spread~5 lo80~5 hi80~5 lo95~5 hi95~5")
 def croston_interval(spark, sf_dir):
     return forecasters.with_bounds(payer_rates(spark, sf_dir))
 
