@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cashtide.llm import query_bpe
+from cashtide.llm import query_bpe, query_decontaminate, query_exact_dedup
 
-_MODULES = (query_bpe,)
+_MODULES = (query_bpe, query_decontaminate, query_exact_dedup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
