@@ -11,7 +11,8 @@ documents of the whole corpus that hold them. A notice of ``t`` words that needs
   ``1 + min(t - i, b - j)`` words are shared from there on, positions counted from 1.
 
 What passes is verified by intersecting the sets, so the result is exact. Notices are an argument of
-bounded number; documents are read in place and only blocks with enough notice words are exploded.
+bounded number, so their prefixes are sent to all tasks; documents are read in place, and only blocks
+that hold a word of some prefix are looked at any further.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 CONTAINED = 0.8
 
+#: Their prefixes are broadcast.
+MAX_NOTICES = 2_000
+
 #: Phrases and their labels: fixed values of the contract.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -75,11 +79,6 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), BREAKS, " ")
 
 
-def words_of(spaced_text: Column) -> Column:
-    """The words as an array; empty if there are none."""
-    return F.filter(F.split(spaced_text, " "), lambda w: w != "")
-
-
 def starts_of(spaced_text: Column, words: Column, phrase: str) -> Column:
     """Numbers of the words at which the phrase stands; words are only looked through where it occurs."""
     parts = phrase.split(" ")
@@ -105,27 +104,38 @@ def global_order(docs_words: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def prefix_of(notice: Notice, order: list[str]) -> list[str]:
+    """The rarest words of a notice, one of which every joining block holds."""
+    return [w for w in order if w in notice.words][: len(notice.words) - notice.needed + 1]
+
+
+def may_join(words: Column, order: list[str], notices: list[Notice]) -> Column:
+    """Whether the words have any of a prefix; what has none joins no notice."""
+    return F.arrays_overlap(words, F.array(*map(F.lit, sorted({w for n in notices for w in prefix_of(n, order)}))))
+
+
 def join_notices(blocks: DataFrame, order: list[str], notices: list[Notice]) -> DataFrame:
     """The similarity join: ``blocks`` (any columns and ``words``) with ``label`` and ``containment``."""
+    if len(notices) > MAX_NOTICES:
+        raise ValueError(f"at most {MAX_NOTICES} notices")
     rank = {word: i for i, word in enumerate(order)}
-    sets = [sorted(n.words, key=rank.__getitem__) for n in notices]
     prefixes = [
-        (rank[word], at, i, len(words), notice.needed, notice.label, sorted(rank[w] for w in words))
-        for i, (notice, words) in enumerate(zip(notices, sets, strict=True))
-        for at, word in enumerate(words[: len(words) - notice.needed + 1], 1)
+        (rank[word], at, len(n.words), n.needed, n.label, sorted(rank[w] for w in n.words))
+        for n in notices
+        for at, word in enumerate(prefix_of(n, order), 1)
     ]
     spark = blocks.sparkSession
     heads = spark.createDataFrame(
-        prefixes, "word int, i int, notice int, t int, needed int, label string, members array<int>"
+        prefixes, "word int, i int, t int, needed int, label string, members array<int>"
     )
     ranks = F.create_map(*(x for word in order for x in (F.lit(word), F.lit(rank[word]))))
     in_order = F.sort_array(F.transform(F.array_intersect("words", F.array(*map(F.lit, order))), lambda w: ranks[w]))
-    ranked = blocks.withColumn("ranked", in_order).withColumn("b", F.size("ranked"))
+    ranked = blocks.where(may_join(F.col("words"), order, notices)).withColumn("ranked", in_order).withColumn("b", F.size("ranked"))
     least = min(n.needed for n in notices)
     heads_of_blocks = ranked.where(F.col("b") >= least).select(
         "*", F.posexplode(F.slice("ranked", 1, F.col("b") - F.lit(least - 1))).alias("j", "word")
     )
-    met = heads_of_blocks.join(heads, "word").where(
+    met = heads_of_blocks.join(F.broadcast(heads), "word").where(
         (F.col("b") >= F.col("needed"))
         & (F.col("j") + 1 <= F.col("b") - F.col("needed") + 1)
         & (1 + F.least(F.col("t") - F.col("i"), F.col("b") - F.col("j") - 1) >= F.col("needed"))
@@ -154,17 +164,16 @@ def scan(
     read = docs.select("doc_id", F.xxhash64("text").alias("hash"), text.alias("text"))
     order = global_order(read.select(F.split(spaced(F.col("text")), " ").alias("words")), vocabulary)
 
-    # Documents with too few notice words in all hold no block that could join.
-    least = min(n.needed for n in known)
-    held = F.size(F.array_intersect(F.split(spaced(F.col("text")), " "), F.array(*map(F.lit, vocabulary))))
-    lines = read.where(held >= least).select("doc_id", "hash", F.explode(F.split("text", "\n")).alias("line"))
+    near = may_join(F.split(spaced(F.col("text")), " "), order, known)
+    lines = read.where(near).select("doc_id", "hash", F.explode(F.split("text", "\n")).alias("line"))
     blocks = lines.select("doc_id", "hash", F.split(spaced(F.col("line")), " ").alias("words"))
     hits = join_notices(blocks, order, known)
     found = hits.groupBy("doc_id", "hash").agg(
         F.collect_set("label").alias("notice_labels"), F.max("containment").alias("best")
     )
 
-    spans = read.select("doc_id", "hash", spaced(F.col("text")).alias("spaced"))
+    # Exploding an array of one keeps the text from being spaced anew for every column that uses it.
+    spans = read.select("doc_id", "hash", F.explode(F.array(spaced(F.col("text")))).alias("spaced"))
     words = F.split(F.trim("spaced"), " ")
     starts = {phrase: starts_of(F.col("spaced"), words, phrase) for phrase in phrases}
     counted = spans.select(
