@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from cashtide.llm import query_bpe, query_chat, query_decontaminate, query_exact_dedup, query_language, query_license_scan, query_sharding, query_url_filter
+from cashtide.llm import (
+    query_bpe,
+    query_chat,
+    query_decontaminate,
+    query_exact_dedup,
+    query_language,
+    query_license_scan,
+    query_quality,
+    query_sharding,
+    query_url_filter,
+)
 
-_MODULES = (query_url_filter, query_chat, query_language, query_decontaminate, query_exact_dedup, query_license_scan, query_bpe, query_sharding)
+_MODULES = (
+    query_url_filter,
+    query_chat,
+    query_language,
+    query_decontaminate,
+    query_exact_dedup,
+    query_license_scan,
+    query_bpe,
+    query_sharding,
+    query_quality,
+)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
