@@ -9,6 +9,7 @@ from cashtide.llm import (
     query_exact_dedup,
     query_language,
     query_license_scan,
+    query_parity_join,
     query_quality,
     query_sharding,
     query_url_filter,
@@ -16,6 +17,7 @@ from cashtide.llm import (
 
 _MODULES = (
     query_url_filter,
+    query_parity_join,
     query_chat,
     query_language,
     query_decontaminate,
