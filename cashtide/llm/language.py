@@ -182,6 +182,39 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def judgements(own: Model, texts: pa.Array, lettered: pa.Array) -> list[tuple[str, float, bool]]:
+    """Language, confidence and whether it is rejected, for each text."""
+    found = []
+    for text, spoken in zip(texts.cast(pa.binary()), lettered, strict=True):
+        if spoken.as_py() and own.languages:
+            sure = own.confidences(subword_counts(text.as_py())[None, :].astype(np.float32))[0]
+            best = int(sure.argmax())
+            found.append((own.languages[best], float(sure[best]), bool(sure[best] < own.least)))
+        else:
+            found.append((UNKNOWN, 0.0, True))
+    return found
+
+
+def _shared(docs: DataFrame, model: Model):
+    plain = (model.languages, model.weights, model.bias, model.temperature, model.least)
+    return docs.sparkSession.sparkContext.broadcast(plain)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their own columns only. Texts are judged in place."""
+    shared = _shared(docs, model)
+    last = len(docs.columns)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            kept = pa.array([not away for _, _, away in judgements(own, batch.column(last), batch.column(last + 1))], pa.bool_())
+            yield batch.select(list(range(last))).filter(kept)
+
+    text = F.col("text")
+    return docs.select("*", text.alias("_text"), has_letter(text).alias("_lettered")).mapInArrow(judged, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
 
@@ -191,27 +224,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     added = ("lang_pred", "score", "rejected")
     kept = [c for c in docs.columns if c not in added]
-    plain = (model.languages, model.weights, model.bias, model.temperature, model.least)
-    shared = docs.sparkSession.sparkContext.broadcast(plain)
+    shared = _shared(docs, model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            names, scores, turned_away = [], [], []
-            for text, lettered in zip(batch.column("text").cast(pa.binary()), batch.column("_lettered"), strict=True):
-                if lettered.as_py() and own.languages:
-                    sure = own.confidences(subword_counts(text.as_py())[None, :].astype(np.float32))[0]
-                    best = int(sure.argmax())
-                    names.append(own.languages[best])
-                    scores.append(float(sure[best]))
-                    turned_away.append(scores[-1] < own.least)
-                else:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    turned_away.append(True)
-            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(turned_away, pa.bool_())]
+            found = judgements(own, batch.column("_text"), batch.column("_lettered"))
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     schema = ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), has_letter(F.col("text")).alias("_lettered")).mapInArrow(judged, schema)
+    text = F.col("text")
+    return docs.select(
+        *(F.col(f"`{c}`") for c in kept), text.alias("_text"), has_letter(text).alias("_lettered")
+    ).mapInArrow(judged, schema)
