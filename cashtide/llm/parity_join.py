@@ -8,10 +8,15 @@ block is equal (pigeonhole), and equal blocks are joined. A document just above
 part in that band, since it may be like a document below. No pair is lost.
 
 Buckets of equal blocks may hold thousands of near copies, so their pairs are never listed. In each bucket
-the document that shares most with others is the hub; members are verified against it, and what is alike
-becomes one class. Only in buckets that still hold several classes, members of different classes are
-compared with each other by their whole sketches; the pairs whose sketches are near enough are verified.
-Pairs inside one class need no check, as only classes are asked for. Verification compares the sets of words.
+the document that shares most with others is the hub; members are held against it, and what is alike
+becomes one class. In buckets that still hold several classes, members of different classes are held
+against each other. A pair is first held against the bound by short sketches of the whole sets (again parity,
+so a pair beyond the bound is surely not alike); the few that remain are verified on the sets of words.
+Pairs inside one class need no check, as only classes are asked for.
+
+One exception to pigeonhole: a block with two bits or fewer says little, and at a Jaccard of 0.8 a quarter of
+the blocks are so. In bands of ``MANY_BLOCKS`` blocks or more they are left out. A pair at the threshold has
+each block equal with a chance of over a third, so the chance that it shares none of the others is below 1e-9.
 """
 
 from __future__ import annotations
@@ -26,12 +31,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtide.llm.components import components
-from cashtide.llm.tables import written
+from cashtide.llm.tables import split_by_ids, written
 from cashtide.llm.wordhash import Words, scramble, shingle_hashes, shingle_set
 
 #: Words end at ASCII white space.
 WORDS = Words(b" \t\n\x0b\x0c\r")
 
+#: Blocks of ``WEAK_BITS`` bits or fewer are left out in bands of so many blocks.
+MANY_BLOCKS, WEAK_BITS = 64, 2
+
+#: Blocks of a band for each word of the short sketch, and words of a short sketch at least.
+BLOCKS_A_WORD, LEAST_WORDS = 16, 2
+
+#: Members of a bucket held against the others at once.
+TILE = 512
+
 #: Each band's sizes reach to half as much again as those of the band before.
 BAND_RATIO = 1.5
 
@@ -77,10 +91,17 @@ def bucket_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     for b in bands_of(len(hashes), percent):
         words = sketch(hashes, blocks_of(b, percent))
         name = np.arange(len(words), dtype=np.uint64) + np.uint64(b << 40)
-        keys.append(scramble(words + scramble(name)))
+        own = scramble(words + scramble(name))
+        keys.append(own if len(words) < MANY_BLOCKS else own[np.bitwise_count(words) > WEAK_BITS])
     return np.concatenate(keys).view(np.int64)
 
 
+def short_sketches(hashes: np.ndarray, percent: int) -> list[dict]:
+    """A parity sketch of the whole set for each of its bands, long enough to tell the bound."""
+    words = {b: max(LEAST_WORDS, -(-blocks_of(b, percent) // BLOCKS_A_WORD)) for b in bands_of(len(hashes), percent)}
+    return [{"band": b, "words": sketch(scramble(hashes), n).view(np.int64).tolist()} for b, n in words.items()]
+
+
 def folded_digest(text: Column) -> Column:
     """A digest of the words of a text, by which texts of equal words are one."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,31 +112,44 @@ def distinct_shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(WORDS.hashes(text), k))
 
 
-def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row per digest of ``docs`` (doc_id, text): node (the smallest doc_id), n_shingles, keys."""
+SHORT = "array<struct<band:int,words:array<bigint>>>"
+
+
+def sketched(docs: DataFrame, k: int, percent: int, fold: bool) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) as digest, node, n (shingles), keys, short; stored.
+
+    With ``fold``, documents of equal words are one node, the smallest doc_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, short = [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 hashes = distinct_shingles(text.as_py() or b"", k)
                 sizes.append(len(hashes))
                 keys.append(bucket_keys(hashes, percent) if len(hashes) else np.empty(0, np.int64))
+                short.append(short_sketches(hashes, percent) if len(hashes) else [])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            made = [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("node"), *made], ["digest", "node", "n", "keys"])
+            made = [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(short, arrow)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest"), batch.column("node"), *made], ["digest", "node", "n", "keys", "short"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select(folded_digest(F.coalesce("text", F.lit(""))).alias("digest"), F.col("doc_id").alias("node"), "text")
-    rows = named.mapInArrow(run, f"digest binary, node {kind}, n bigint, keys array<bigint>")
-    return rows.groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = named.mapInArrow(run, f"digest binary, node {kind}, n bigint, keys array<bigint>, short {SHORT}")
+    if fold:
+        firsts = (F.first(c).alias(c) for c in ("n", "keys", "short"))
+        rows = rows.groupBy("digest").agg(F.min("node").alias("node"), *firsts)
+    return written(rows, "parity-nodes")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """Members (key, node, n) of all buckets that hold more than one, with the number they hold, stored."""
-    rows = nodes.where("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key"))
-    counted = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rows = nodes.where("node IS NOT NULL").select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    counted = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")).cast("int"))
     return written(counted.where("members > 1"), "parity-buckets")
 
 
@@ -123,17 +157,38 @@ def alike_sizes(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def hub_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each member with the hub of its bucket: a, b, with a < b, once however many buckets they share."""
+def bound_of(n: Column, m: Column, percent: int) -> Column:
+    return F.floor((n + m) * F.lit(100 - percent) / F.lit(100 + percent))
+
+
+def hubs_of(buckets: DataFrame) -> DataFrame:
+    """The hub (key, hub: weight, node, n) of each bucket."""
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
-    weighed = buckets.join(weight, "node")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    return buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+
+
+def hub_pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Each member with the hub of its bucket: a, b, with a < b, once however many buckets they share."""
     met = buckets.join(hubs, "key").where(
         (F.col("node") != F.col("hub.node")) & alike_sizes(F.col("n"), F.col("hub.n"), percent)
     )
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose short sketches do not show that they are beyond the bound."""
+    short = nodes.select("node", "n", "short")
+    left = short.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("short").alias("short_a"))
+    right = short.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("short").alias("short_b"))
+    # The lowest band of either set that both take part in.
+    band = F.greatest(F.array_min("short_a.band"), F.array_min("short_b.band"))
+    words = lambda s: F.filter(s, lambda x: x["band"] == band)[0]["words"]
+    flips = F.zip_with(words("short_a"), words("short_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(flips, F.lit(0), lambda total, x: total + x)
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(apart <= bound_of(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose texts are alike, by the sets of their words; ``docs`` are (node, text), one row each."""
 
@@ -150,60 +205,76 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 alike.append(100 * both >= percent * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    pairs = written(pairs, "parity-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(docs.join(wanted, "node"), "parity-texts")
+    texts = written(split_by_ids(docs, "node", wanted)[0].join(wanted, "node"), "parity-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("of_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("of_b"))
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def open_pairs(buckets: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of one bucket but of different classes whose whole sketches are near enough to be alike."""
-    of_class = buckets.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = (
-        of_class.groupBy("key")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most")
-        .select("key")
+def open_pairs(buckets: DataFrame, hubs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Near pairs (a, b) of different classes that share a bucket, apart from those with its hub.
+
+    Rows of the buckets that still hold several classes are dealt out by bucket, in order, and held against each
+    other as whole arrays, ``TILE`` rows at a time; only pairs within the bound leave the task.
+    """
+    members = buckets.where("members > 2").join(hubs.select("key", F.col("hub.node").alias("_hub")), "key")
+    members = members.where("node <> _hub").drop("_hub")
+    of_class = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = (
+        of_class.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     )
-    members = written(of_class.join(open_keys, "key").select("key", "node", "n", "component"), "parity-open")
-    if not members.limit(1).count():
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = of_class.join(several.select("key"), "key").select("key", "node", "component")
+    dealt = rows.join(nodes.select("node", "n", "short"), "node").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            found = []
-            for text in batch.column("text").cast(pa.binary()):
-                hashes = distinct_shingles(text.as_py(), k)
-                found.append([(b, sketch(hashes, blocks_of(b, percent)).view(np.int64).tolist()) for b in bands_of(len(hashes), percent)])
-            kind = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
-            rows = [[{"band": b, "words": w} for b, w in x] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, kind)], ["node", "sketches"])
-
-    kind = members.schema["node"].dataType.simpleString()
-    wanted = members.select("node").distinct()
-    sketches = docs.join(wanted, "node").mapInArrow(run, f"node {kind}, sketches array<struct<band:int,words:array<bigint>>>")
-    sketches = written(sketches, "parity-sketches")
-    left = members.join(sketches, "node")
-    right = left.select(
-        "key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "sketches"))
-    )
-    first, second = F.col("sketches"), F.col("sketches_b")
-    # Members of a bucket have its band in common; the sketches of the lowest common band are compared.
-    band = F.greatest(F.array_min(first["band"]), F.array_min(second["band"]))
-    words = lambda s: F.filter(s, lambda x: x["band"] == band)[0]["words"]
-    apart = F.aggregate(
-        F.zip_with(words(first), words(second), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    bound = F.floor((F.col("n") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    near = (
-        (F.col("node") < F.col("node_b"))
-        & (F.col("component") != F.col("component_b"))
-        & alike_sizes(F.col("n"), F.col("n_b"), percent)
-        & (apart <= bound)
-    )
-    return left.join(right, (left["key"] == right["key"]) & near).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            keys = table.column("key").to_numpy()
+            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if not len(edges):
+                rest = table
+                continue
+            rest = table.slice(int(edges[-1]))
+            yield _near_in_buckets(table.slice(0, int(edges[-1])), percent)
+        if rest is not None:
+            yield _near_in_buckets(rest, percent)
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _near_in_buckets(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Near pairs among rows that are in the order of their buckets."""
+    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    classes = rows.column("component").to_numpy(zero_copy_only=False)
+    short = [{s["band"]: s["words"] for s in x} for x in rows.column("short").to_pylist()]
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    left, right = [], []
+    for at, end in zip(begin, [*begin[1:], len(keys)], strict=True):
+        if end - at < 2:
+            continue
+        band = max(min(s) for s in short[at:end])
+        words = np.array([s[band] for s in short[at:end]], np.int64).view(np.uint64)
+        size, own = n[at:end], classes[at:end]
+        for i in range(0, len(words), TILE):
+            part = slice(i, i + TILE)
+            apart = np.bitwise_count(words[part, None] ^ words[None, i:]).sum(axis=2, dtype=np.int64)
+            both = size[part, None] + size[None, i:]
+            near = apart <= both * (100 - percent) // (100 + percent)
+            near &= own[part, None] != own[None, i:]
+            near &= np.minimum(size[part, None], size[None, i:]) * 100 >= np.maximum(size[part, None], size[None, i:]) * percent
+            one, other = np.nonzero(np.triu(near, 1))
+            left.append(at + i + one)
+            right.append(at + i + other)
+    one, other = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    nodes = rows.column("node").to_pylist()
+    pairs = [sorted((nodes[i], nodes[j])) for i, j in zip(one, other, strict=True)]
+    kind = rows.schema.field("node").type
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["a", "b"])
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -216,11 +287,11 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     columns are ignored.
     """
     plain = docs.select("doc_id", "text")
-    nodes = written(sketched(plain, k, percent), "parity-nodes")
+    nodes = sketched(plain, k, percent, fold=True)
     of_text = plain.select("doc_id", folded_digest(F.coalesce("text", F.lit(""))).alias("digest")).join(
         nodes.select("digest", "node", "n"), "digest"
     )
-    classes = classes_of(shared_buckets(nodes.where("n > 0")), plain.withColumnRenamed("doc_id", "node"), k, percent)
+    classes = classes_of(nodes.where("n > 0"), plain.withColumnRenamed("doc_id", "node"), k, percent)
     return (
         of_text.join(classes, "node", "left")
         .select(
@@ -234,14 +305,15 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
-def classes_of(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def classes_of(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Classes (node, component) of the nodes that are alike to another one."""
     texts = texts.where("node IS NOT NULL AND text IS NOT NULL")
-    links = written(verified(hub_pairs(buckets, percent), texts, k, percent), "parity-links")
+    buckets = shared_buckets(nodes)
+    hubs = written(hubs_of(buckets), "parity-hubs")
+    links = written(verified(near_pairs(hub_pairs(buckets, hubs, percent), nodes, percent), texts, k, percent), "parity-links")
     classes = written(components(links), "parity-classes")
-    more = written(open_pairs(buckets, classes, texts, k, percent), "parity-more")
-    if more.limit(1).count():
-        late = verified(more, texts, k, percent)
+    late = written(verified(open_pairs(buckets, hubs, classes, nodes, percent), texts, k, percent), "parity-late")
+    if late.limit(1).count():
         classes = written(components(links.union(late)), "parity-classes")
     return classes
 
@@ -249,8 +321,13 @@ def classes_of(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays.
 
-    Rows of a null doc_id and texts without words stay.
+    Rows that surely are no copies pass where they are read; only the others are joined with the ids to drop.
+    Rows of a null doc_id and texts without words stay. Equal texts are left to exact dedup: they are found
+    here too, as near copies, but are not folded first.
     """
-    classes = near_classes(docs, k, percent)
-    dropped = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = docs.select("doc_id", "text")
+    nodes = sketched(plain, k, percent, fold=False)
+    classes = classes_of(nodes.where("n > 0"), plain.withColumnRenamed("doc_id", "node"), k, percent)
+    dropped = classes.where("component <> node").select(F.col("node").alias("doc_id"))
+    some, others = split_by_ids(docs, "doc_id", dropped)
+    return others.union(some.join(dropped, "doc_id", "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns))
