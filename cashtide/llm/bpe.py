@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces up to this many characters are remembered, so many at most; the rest is worked out again.
-REMEMBERED_CHARS, REMEMBERED = 48, 500_000
+REMEMBERED_CHARS, REMEMBERED = 48, 250_000
 
 
 def byte_of_symbol() -> dict[str, int]:

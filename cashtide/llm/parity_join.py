@@ -41,7 +41,7 @@ WORDS = Words(b" \t\n\x0b\x0c\r")
 MANY_BLOCKS, WEAK_BITS = 64, 2
 
 #: Blocks of a band for each word of the short sketch, and words of a short sketch at least.
-BLOCKS_A_WORD, LEAST_WORDS = 16, 2
+BLOCKS_A_WORD, LEAST_WORDS = 4, 2
 
 #: Members of a bucket held against the others at once.
 TILE = 512
