@@ -32,7 +32,9 @@ def new_run_id(moment: datetime | None = None) -> str:
 
 def fingerprint_aggregates(df: DataFrame) -> list[Column]:
     """Aggregates whose values do not depend on the order of the rows."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    # A hash passes over NULLs, so each value is hashed with a mark that says whether it is one.
+    marked = [x for c in sorted(df.columns) for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    row_hash = F.xxhash64(*marked)
     columns = sorted(f"{field.name}:{field.dataType.simpleString()}" for field in df.schema)
     return [
         F.count("*").alias("rows"),

@@ -36,10 +36,12 @@ def read_csv(
     timestamp_columns: Sequence[str] = (),
 ) -> DataFrame:
     """A CSV table with a header. Columns are matched by header name, so a file may carry more
-    columns, in any order; ``timestamp_columns`` are parsed and become NULL when malformed."""
+    columns, in any order, but all files of one table share a header: a file with another one is an
+    error. Quoted values may hold line breaks and doubled quotes. ``timestamp_columns`` are parsed
+    and become NULL when malformed."""
     wanted = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     # Only the header line is read here, to fail early on a column that is not there.
-    header = spark.read.option("header", True).csv(path)
+    header = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=False).csv(path)
     require_columns(header, wanted.fieldNames(), path)
     # Fields beyond the schema are kept out of the scan by column pruning.
     text = header.select(*[f"`{name}`" for name in wanted.fieldNames()])

@@ -170,3 +170,15 @@ def test_unknown_version_is_an_actionable_error(spark):
 
 def test_run_ids_sort_by_time():
     assert run_log.new_run_id(datetime(2026, 7, 16, 10, 15)) == "20260716T101500Z"
+
+
+def test_fingerprint_tells_where_a_null_is(spark):
+    one = spark.createDataFrame([("x", None)], "a string, b string")
+    other = spark.createDataFrame([(None, "x")], "a string, b string")
+    assert run_log.fingerprint_text(one) != run_log.fingerprint_text(other)
+
+
+def test_csv_keeps_line_breaks_and_doubled_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"line one\nline two"\n2,"say ""hi"", ok"\n')
+    rows = tables.read_csv(spark, str(tmp_path), "k int, v string").orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, "line one\nline two"), (2, 'say "hi", ok')]
