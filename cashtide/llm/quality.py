@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.llm.tables import written
+from cashtide.llm.tables import split_by_ids, written
 
 WINDOW, STRIDE, WIDTH, FILTERS = 8, 4, 4, 16
 
@@ -152,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     share = F.when(F.col("quality") == 1, rows / 2 / max(sizes.get(1, 0), 1)).otherwise(rows / 2 / max(sizes.get(0, 0), 1))
     chosen = marked.where(chance < share)
     short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    stored = written(short.join(chosen, "doc_id"), "quality-sample")
+    # Only the texts of the sample are moved.
+    near = split_by_ids(short, "doc_id", chosen.select("doc_id"))[0]
+    stored = written(near.join(chosen, "doc_id"), "quality-sample")
     taught = stored.orderBy("doc_id", "quality", "text").collect()
     return train([r.text.encode() for r in taught], np.array([r.quality for r in taught], np.float32))
 
