@@ -82,11 +82,15 @@ def spaced(text: Column) -> Column:
 def starts_of(spaced_text: Column, words: Column, phrase: str) -> Column:
     """Numbers of the words at which the phrase stands; words are only looked through where it occurs."""
     parts = phrase.split(" ")
-    last = F.size(words) - F.lit(len(parts))
-    here = lambda i: _all(F.get(words, i + F.lit(k)) == F.lit(part) for k, part in enumerate(parts))
-    return F.when(F.contains(spaced_text, F.lit(f" {phrase} ")), F.filter(F.sequence(F.lit(0), last), here)).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
+
+    def places(held: Column) -> Column:
+        here = lambda i: _all(F.get(held, i + F.lit(k)) == F.lit(part) for k, part in enumerate(parts))
+        return F.filter(F.sequence(F.lit(0), F.size(held) - F.lit(len(parts))), here)
+
+    # As the variable of a transform the words are split once, not for every place.
+    found = F.transform(F.array(words), places)[0]
+    none = F.expr("cast(array() as array<int>)")
+    return F.when(F.contains(spaced_text, F.lit(f" {phrase} ")), found).otherwise(none)
 
 
 def _all(conditions) -> Column:
