@@ -33,7 +33,10 @@ DEFAULT_RULES = (
 FALLBACK_STREAM = "one_time"
 
 
-WHITE_SPACE = " \t\n\r\x0b\x0c"
+# All code points that Unicode counts as white space, and the four ASCII separators.
+WHITE_SPACE = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 
 def trimmed(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cashtide.functions.categories import DEFAULT_RULES, StreamRule, stream_of
 from cashtide.functions.clock import utc_wall_clock
+from cashtide.operators.contracts import MONEY
 from cashtide.settings import Settings
 
 
@@ -18,7 +19,7 @@ def is_domestic(currency: Column, home: str) -> Column:
 
 def amount_or_zero(amount: Column) -> Column:
     """Money as an exact decimal; what cannot be read as a number counts as 0."""
-    return F.coalesce(amount.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return F.coalesce(amount.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def naive_utc(df: DataFrame, column: str) -> Column:

@@ -30,6 +30,9 @@ class ContractError(ValueError):
 REQUIRED_CHARGE_COLUMNS = ("status", "amount", "description", "created")
 EARLIEST_YEAR = 2015
 
+#: What cleaning reads amounts as: NaN, infinite and too large ones are no numbers here.
+MONEY = "decimal(18,2)"
+
 
 def charge_rules(as_of: date, earliest_year: int = EARLIEST_YEAR) -> list[Rule]:
     """Raw-charge contract: status, amount and date present, well-formed and in range.
@@ -48,7 +51,7 @@ def charge_rules(as_of: date, earliest_year: int = EARLIEST_YEAR) -> list[Rule]:
         Rule(
             "amount_numeric",
             "amount",
-            ~amount_given | F.col("amount").try_cast("double").isNotNull(),
+            ~amount_given | F.col("amount").try_cast(MONEY).isNotNull(),
         ),
         Rule("created_present", "created", created_given),
         Rule("created_timestamp", "created", ~created_given | created.isNotNull()),

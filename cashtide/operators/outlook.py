@@ -98,20 +98,22 @@ def forecast_table(forecast: DataFrame, streams: Sequence[str]) -> DataFrame:
 
 
 def expand_requests(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per request and forecast month asked for."""
+    """One row per request and forecast month asked for; a request for less than one month is one row without a step."""
     return requests.select(
         "request_id",
         "horizon",
         "level",
         *keep,
-        F.explode(F.sequence(F.lit(1), F.col("horizon"))).alias("step"),
+        F.explode_outer(F.when(F.col("horizon") >= 1, F.sequence(F.lit(1), F.col("horizon")))).alias("step"),
     )
 
 
 def score_requests(
     requests: DataFrame, total: DataFrame, keep: Sequence[str] = (), max_horizon: int = MAX_HORIZON
 ) -> DataFrame:
-    """Answer valid requests from the stored total forecast, with the bounds of the asked level.
+    """Answer requests from the stored total forecast, with the bounds of the asked level.
+
+    Months the forecast does not reach are rows without values, which the forecast contract does not accept.
 
     Requests become one row per month and then meet the forecast by equality on the step. The
     forecast has one row per step and at most ``max_horizon`` steps, which is what makes the
@@ -123,7 +125,7 @@ def score_requests(
     asked = F.col("level")
     return (
         expand_requests(requests, keep)
-        .join(F.broadcast(stored), "step")
+        .join(F.broadcast(stored), "step", "left")
         .select(
             "request_id",
             "horizon",

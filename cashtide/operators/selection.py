@@ -35,14 +35,15 @@ def ranked_by(model: Column, order: Sequence[str]) -> Column:
 
 
 def select_model(scores: DataFrame, rank: Column, benchmark: str = BENCHMARK) -> DataFrame:
-    """The candidate with the lowest MASE; a tie or an undefined MASE keeps the preferred one.
+    """The candidate with the lowest MASE; a tie, or an undefined MASE on either side, keeps the preferred one.
 
     ``baseline`` is the MASE of the benchmark. Choice and benchmark come from one grouping, so
     the scores, and the backtests below them, are computed once.
     """
+    undefined = F.lit(float("inf"))
     order = F.when(
         F.col("_rank").isNotNull(),
-        F.struct(F.col("mase").isNull(), F.coalesce("mase", F.lit(0.0)), F.col("_rank")),
+        F.struct(F.coalesce("mase", F.when(F.col("_rank") == 0, -undefined).otherwise(undefined)), "_rank"),
     )
     best = F.min_by(F.struct("model", "mase", "rmse", "winkler80"), order)
     baseline = F.max(F.when(F.col("model") == benchmark, F.col("mase")))

@@ -847,14 +847,13 @@ def event_stream(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Every event is delivered twice and kept once."""
     twice = event_stream(spark, sf_dir).unionByName(event_stream(spark, sf_dir))
-    once = revenue.drain(revenue.deduplicated(twice, "event_id", "ts", "2 days"), "ingest")
-    return once.withColumn("ts", utc_wall_clock(F.col("ts")))
+    return revenue.ingested(twice, "event_id", "ts").withColumn("ts", utc_wall_clock(F.col("ts")))
 
 
 @query("window_start@ category n# revenue~2")
 def stream_windowed(spark, sf_dir):
     windows = revenue.windowed_revenue(event_stream(spark, sf_dir), "event_type", "value", "ts")
-    return revenue.drain(windows, "windows").withColumn(
+    return revenue.windows_of(windows).withColumn(
         "window_start", utc_wall_clock(F.col("window_start"))
     )
 

@@ -44,11 +44,11 @@ def materialise(df: DataFrame, root: str, name: str, run_id: str) -> DataFrame:
 
 
 def inspect(
-    charges: DataFrame, settings: Settings, code_version: str, prior: dict | None
+    charges: DataFrame, settings: Settings, code_version: str, prior: dict | None, asked: str = ""
 ) -> tuple[str, int | None]:
     """(input fingerprint, rows) in one pass over the charges.
 
-    The rows are None when the prior run had the same input and code. Otherwise every broken
+    The rows are None when the prior run had the same input, code and settings (``asked``). Otherwise every broken
     rule of the charge contract is reported in one error.
     """
     contracts.require_contract_columns(charges)
@@ -57,7 +57,7 @@ def inspect(
     hashes = run_log.fingerprint_aggregates(charges)[1:]
     counted = charges.agg(*contracts.rule_counts(rules), *hashes).first().asDict()
     fingerprint = run_log.as_text(counted)
-    if run_log.unchanged(prior, fingerprint, code_version):
+    if run_log.unchanged(prior, fingerprint, code_version, asked):
         return fingerprint, None
     return fingerprint, contracts.judge(counted, rules)
 
@@ -169,7 +169,7 @@ def run(
 ) -> PublishedRun:
     """A full run that publishes its tables below ``root``.
 
-    It is skipped when input and code equal those of the newest run. The regression gate comes
+    It is skipped when input, code and settings equal those of the newest run. The regression gate comes
     before anything it judges is published; a blocked run leaves the newest evaluation and
     forecasts in place.
     """
@@ -177,7 +177,8 @@ def run(
     run_id = run_id or run_log.new_run_id()
     log = f"{root}/runs"
     prior = None if force else run_log.last_run(spark, log)
-    fingerprint, rows_in = inspect(charges, settings, code_version, prior)
+    asked = run_log.settings_digest(settings, rules, by)
+    fingerprint, rows_in = inspect(charges, settings, code_version, prior, asked)
     if rows_in is None:
         return PublishedRun(run_id, skipped=True)
 
@@ -228,6 +229,7 @@ def run(
         rows_in=rows_in,
         rows_clean=rows_clean,
         months=span["idx"] + 1,
+        settings=asked,
         evaluated=table,
         streams=settings.streams if named else (),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from datetime import UTC, datetime
@@ -18,7 +19,7 @@ WRITE_OPTIONS = {"csv": {"header": "true"}, "json": {"ignoreNullFields": "false"
 RUN_SCHEMA = """
     schema_version int, run_id string, run_at string, code_version string,
     pipeline_version string, input_source string, input_fingerprint string, data_through string,
-    rows_in bigint, rows_clean bigint, months int,
+    rows_in bigint, rows_clean bigint, months int, settings_digest string,
     model_selections map<string, string>,
     metrics map<string, struct<mase: double, rmse: double, winkler80: double,
                                ljung_box_p: double, beats_baseline: boolean>>
@@ -113,6 +114,7 @@ def run_record(
     rows_in: int,
     rows_clean: int,
     months: int,
+    settings: str = "",
     evaluated: DataFrame | None = None,
     streams: Sequence[str] = (),
 ) -> DataFrame:
@@ -126,12 +128,12 @@ def run_record(
             (
                 SCHEMA_VERSION, run_id, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
                 code_version, pipeline_version, input_source, input_fingerprint, data_through,
-                rows_in, rows_clean, months,
+                rows_in, rows_clean, months, settings,
             )
         ],
         "schema_version int, run_id string, run_at string, code_version string, "
         "pipeline_version string, input_source string, input_fingerprint string, "
-        "data_through string, rows_in bigint, rows_clean bigint, months int",
+        "data_through string, rows_in bigint, rows_clean bigint, months int, settings_digest string",
     )
     if evaluated is None:
         empty = lambda kind: F.lit(None).cast(kind)
@@ -194,12 +196,18 @@ def prior_mase(spark: SparkSession, log: str, root: str, name: str = "evaluation
     return table.select("series_id", F.col("mase").alias("prior_mase"))
 
 
-def unchanged(prior: dict | None, input_fingerprint: str, code_version: str) -> bool:
-    """Whether a run can be skipped: same input and same code as the newest one."""
+def settings_digest(*parts) -> str:
+    """A short digest of everything a run was asked for."""
+    return hashlib.sha256(repr(parts).encode()).hexdigest()[:16]
+
+
+def unchanged(prior: dict | None, input_fingerprint: str, code_version: str, settings: str = "") -> bool:
+    """Whether a run can be skipped: same input, code and settings as the newest one."""
     return (
         prior is not None
         and prior.get("input_fingerprint") == input_fingerprint
         and prior.get("code_version") == code_version
+        and (prior.get("settings_digest") or "") == settings
     )
 
 

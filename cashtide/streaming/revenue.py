@@ -1,7 +1,8 @@
 """Structured Streaming: deduplicated ingest, windowed revenue, and the quality gate.
 
-Every function takes a streaming DataFrame and returns a streaming DataFrame or a started query;
-:func:`drain` runs one to the end of what is available and returns the written table.
+No result depends on the order in which files arrive or on how many a trigger takes: nothing is dropped
+for being late. :func:`ingested` and :func:`windows_of` run a stream to the end of what is available and
+return the written table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cashtide.operators.contracts import Rule, with_reasons
 from cashtide.session import scratch_dir
+from cashtide.sources.tables import path_exists
+
+#: Files a batch may write for a day, so that a day with most of the rows is spread over tasks.
+FILES_A_DAY = 16
+
+#: The day of rows without an event time.
+NO_DAY = "0001-01-01"
 
 
 def file_stream(
@@ -33,28 +41,47 @@ def file_stream(
     )
 
 
-def deduplicated(stream: DataFrame, key: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Each key once. State is kept per key for ``delay`` beyond the watermark, so a redelivery
-    within that time is dropped and the state does not grow with history."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def ingest_to(stream: DataFrame, key: str, event_time: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Each key once, in a Parquet table partitioned by batch and day of the event; rows without a key all stay.
+
+    A batch is held against the days it has in what earlier batches wrote, so history may come in any order
+    and no state is kept. A redelivery must carry the event time of the first delivery. A repeated batch
+    overwrites only its own folder.
+    """
+    kept = T.StructType([*stream.schema.fields, T.StructField("event_day", T.DateType()), T.StructField("batch_id", T.LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        day = F.coalesce(F.to_date(event_time), F.lit(NO_DAY).cast("date"))
+        rows = batch.withColumn("event_day", day)
+        fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if path_exists(spark, table):
+            earlier = spark.read.schema(kept).parquet(table).where(F.col("batch_id") < batch_id)
+            days = fresh.select("event_day").distinct()
+            known = earlier.join(days, "event_day", "left_semi").select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        spread = F.pmod(F.xxhash64(key), F.lit(FILES_A_DAY))
+        (
+            fresh.unionByName(rows.where(F.col(key).isNull()))
+            .repartition("event_day", spread)
+            .write.mode("overwrite")
+            .partitionBy("event_day")
+            .parquet(f"{table}/batch_id={batch_id}")
+        )
+
+    return _available(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def windowed_revenue(
-    stream: DataFrame,
-    category: str,
-    amount: str,
-    event_time: str,
-    width: str = "1 day",
-    delay: str = "1 day",
+    stream: DataFrame, category: str, amount: str, event_time: str, width: str = "1 day"
 ) -> DataFrame:
-    """Count and revenue per tumbling window and category; rows later than ``delay`` are dropped.
+    """Count and revenue per tumbling window and category, for all rows however late.
 
-    In append mode a window is written once, after the watermark has passed its end. Map-side
+    The state is one row per window and category: it grows with the calendar, not with the rows. Map-side
     partial aggregation keeps a hot category from skewing the state shuffle.
     """
     return (
-        stream.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, width).alias("w"), F.col(category).alias("category"))
+        stream.groupBy(F.window(event_time, width).alias("w"), F.col(category).alias("category"))
         .agg(
             F.count("*").alias("n"),
             F.sum(F.col(amount).cast("decimal(18,2)")).alias("revenue"),
@@ -69,15 +96,26 @@ def windowed_revenue(
     )
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to a Parquet table until the available input is used up; exactly once."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+def windows_to(windows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Publish all windows after every batch, each time as a folder of its own; the newest one counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return _available(windows.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+
+
+def newest_windows(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The windows of the newest batch; an empty table before the first."""
+    if not path_exists(spark, table):
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(table)
+    newest = stored.agg(F.max("batch_id")).scalar()
+    return stored.where(F.col("batch_id") == newest).drop("batch_id")
+
+
+def _available(writer, checkpoint: str) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quarantine_to(
@@ -100,17 +138,20 @@ def quarantine_to(
         )
         judged.filter(~valid).write.mode("overwrite").parquet(f"{bad}/batch_id={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _available(stream.writeStream.foreachBatch(write), checkpoint)
+
+
+def ingested(stream: DataFrame, key: str, event_time: str) -> DataFrame:
+    """Ingest everything available into a scratch table and read that table."""
+    spark, root = stream.sparkSession, scratch_dir(stream.sparkSession, "ingest")
+    ingest_to(stream, key, event_time, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    if not path_exists(spark, f"{root}/table"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{root}/table").select(*stream.columns)
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over everything available into a scratch table and read that table."""
-    spark = stream.sparkSession
-    root = scratch_dir(spark, purpose)
-    append_to(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+def windows_of(windows: DataFrame) -> DataFrame:
+    """Bring the windows up to everything available and read them."""
+    spark, root = windows.sparkSession, scratch_dir(windows.sparkSession, "windows")
+    windows_to(windows, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return newest_windows(spark, f"{root}/table", windows.schema)

@@ -102,3 +102,11 @@ def test_forecast_contract_rejects_each_defect(spark):
     assert verdict == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
     with pytest.raises(contracts.ContractError, match="lacks columns"):
         contracts.forecast_contract(frame.drop("lo"))
+
+
+@pytest.mark.parametrize("amount", ["NaN", "Infinity", "99999999999999999999"])
+def test_amounts_cleaning_cannot_read_break_the_contract(spark, amount):
+    row = [("Paid", "2021-01-10 09:00:00", amount, "x")]
+    charges = spark.createDataFrame(row, "status string, created string, amount string, description string")
+    with pytest.raises(contracts.ContractError, match="amount_numeric"):
+        contracts.enforce(charges, contracts.charge_rules(date(2021, 4, 10)))

@@ -192,3 +192,15 @@ def test_latest_month_split(spark):
     row = kpis.latest_month(history, ["a", "b"]).first()
     assert (row["month"], row["total"], row["year_ago"]) == (date(2021, 1, 1), 64.0, 40.0)
     assert row["yoy_pct"] == pytest.approx(60.0) and row["a_pct"] == pytest.approx(22 / 64 * 100)
+
+
+def test_requests_the_forecast_cannot_answer_are_not_accepted(spark):
+    from cashtide.operators.contracts import forecast_contract
+
+    months = [(s, date(2021, s, 1), 1.0, 0.5, 1.5, 0.25, 2.0) for s in (1, 2)]
+    total = spark.createDataFrame(
+        months, "step int, month date, total double, lo80 double, hi80 double, lo95 double, hi95 double"
+    )
+    requests = spark.createDataFrame([(1, 2, 80), (2, 5, 80), (3, 0, 95), (4, 30, 95)], "request_id int, horizon int, level int")
+    judged = forecast_contract(outlook.score_requests(requests, total)).collect()
+    assert {r["request_id"]: r["accepted"] for r in judged} == {1: True, 2: False, 3: False, 4: False}

@@ -17,37 +17,31 @@ def add_file(spark, path, rows):
     spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(path)
 
 
-def run_stream(spark, stream, root):
-    revenue.append_to(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
-
-
 def test_redelivery_in_a_later_run_is_dropped(spark, tmp_path):
     feed, root = str(tmp_path / "feed"), str(tmp_path / "out")
     rows = [(i, START + timedelta(hours=i), "click", 1.0) for i in range(5)]
-    ingest = lambda: revenue.deduplicated(
-        revenue.file_stream(spark, feed, DDL), "event_id", "ts", "2 days"
-    )
-    add_file(spark, feed, rows)
-    run_stream(spark, ingest(), root)
-    add_file(spark, feed, [*rows[3:], (9, START + timedelta(hours=9), "click", 1.0)])
-    kept = run_stream(spark, ingest(), root)
-    assert sorted(r["event_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 9]
 
-
-def test_windows_close_behind_the_watermark_and_late_rows_are_dropped(spark, tmp_path):
-    feed, root = str(tmp_path / "feed"), str(tmp_path / "out")
-    day = lambda d, h=12: datetime(2024, 1, d, h)
-    windows = lambda: revenue.windowed_revenue(
-        revenue.file_stream(spark, feed, DDL), "event_type", "value", "ts"
-    )
-    add_file(spark, feed, [(1, day(1), "click", 1.25), (2, day(1, 13), "click", 2.0), (3, day(5), "view", 1.0)])
-    run_stream(spark, windows(), root)
-    # The first is too late for its closed window, the second still belongs to an open one.
-    add_file(spark, feed, [(4, day(1), "click", 9.0), (5, day(5, 1), "view", 3.0), (6, day(9), "view", 1.0)])
-    rows = run_stream(spark, windows(), root).collect()
-    got = {(r["window_start"].day, r["category"]): (r["n"], float(r["revenue"])) for r in rows}
-    assert got == {(1, "click"): (2, 3.25), (5, "view"): (2, 4.0)}
+    def ingest():
+        stream = revenue.file_stream(spark, feed, DDL)
+        revenue.ingest_to(stream, "event_id", "ts", f"{root}/table", f"{root}/checkpoint").awaitTermination()
+        return sorted((r["event_id"] is None, r["event_id"]) for r in spark.read.parquet(f"{root}/table").collect())
+
+    add_file(spark, feed, [*rows, (None, START, "click", 1.0), (7, None, "click", 1.0)])
+    ingest()
+    add_file(spark, feed, [*rows[3:], (9, START + timedelta(hours=9), "click", 1.0), (7, None, "click", 1.0)])
+    assert ingest() == [*((False, i) for i in (0, 1, 2, 3, 4, 7, 9)), (True, None)]
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_a_replay_with_the_newest_file_first_loses_nothing(spark, tmp_path, files):
+    feed = str(tmp_path / "feed")
+    for day in (20, 11, 6, 1):
+        add_file(spark, feed, [(10 * day + i, datetime(2024, 1, day + i, 12), "click", 1.25) for i in range(3)])
+    stream = lambda: revenue.file_stream(spark, feed, DDL, files_per_trigger=files)
+    assert revenue.ingested(stream(), "event_id", "ts").count() == 12
+    windows = revenue.windows_of(revenue.windowed_revenue(stream(), "event_type", "value", "ts")).collect()
+    assert sorted(w["window_start"].day for w in windows) == [1, 2, 3, 6, 7, 8, 11, 12, 13, 20, 21, 22]
+    assert all((w["n"], float(w["revenue"])) == (1, 1.25) for w in windows)
 
 
 def test_stream_quarantine_loses_nothing(spark, tmp_path):
