@@ -33,8 +33,8 @@ def chi_square_sf(q: float, df: int) -> float | None:
 
 @F.pandas_udf(T.DoubleType())
 def shapiro_wilk_p(samples: pd.Series) -> pd.Series:
-    """Shapiro-Wilk p-value of each array; NULL below three values or without any spread."""
-    return samples.map(lambda sample: shapiro_wilk(np.asarray(sample, dtype=float)))
+    """Shapiro-Wilk p-value of each array; NULL without one, below three values or without any spread."""
+    return samples.map(lambda sample: None if sample is None else shapiro_wilk(np.asarray(sample, dtype=float)))
 
 
 def _weights(n: int) -> np.ndarray:
