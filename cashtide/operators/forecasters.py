@@ -212,14 +212,13 @@ def with_outlier_positions(arrays: DataFrame, outliers: DataFrame) -> DataFrame:
 def croston_rates(demand: DataFrame, n_months: Column) -> DataFrame:
     """Croston rate and spread per series from its demand months only: ``(series_id, idx, y)``.
 
-    Sparse series never get their empty months materialised.
+    Sparse series never get their empty months materialised. A series without demand has the rate 0.
     """
     ordered = F.array_sort(F.collect_list(F.when(F.col("y") > 0, F.struct("idx", "y"))))
     points, rate = F.col("points"), F.col("rate")
     return (
         demand.groupBy("series_id")
         .agg(ordered.alias("points"))
-        .filter(F.size(points) > 0)
         .withColumn("n_months", n_months)
         .withColumn("rate", folds.croston_rate(points, F.col("n_months")))
         .select(

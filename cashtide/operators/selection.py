@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cashtide.operators.profiles import SPARSE_BELOW
+
 BENCHMARK = "seasonal_naive"
 
 # Stream -> (default, challenger). The challenger must be strictly better.
@@ -70,6 +72,19 @@ def evaluation(selected: DataFrame) -> DataFrame:
     )
 
 
+def for_every_series(table: DataFrame, arrays: DataFrame, sparse_below: float = SPARSE_BELOW) -> DataFrame:
+    """Adds the series that no backtest could score, without scores and with the model their sparsity asks for."""
+    share = F.size(F.filter("ys", lambda y: y > 0)) / F.size("ys")
+    route = F.when(share >= sparse_below, "level").otherwise("croston")
+    routed = arrays.select("series_id", route.alias("_route")).join(table, "series_id", "left")
+    return routed.select(
+        "series_id",
+        F.coalesce("model", "_route").alias("model"),
+        *[c for c in table.columns if c not in ("series_id", "model", "beats_baseline")],
+        F.coalesce("beats_baseline", F.lit(False)).alias("beats_baseline"),
+    ).select(*table.columns)
+
+
 def with_diagnostics(table: DataFrame, whiteness: DataFrame, normal: DataFrame) -> DataFrame:
     """Adds Ljung-Box and Shapiro-Wilk p-values of the selected model, with their verdicts."""
     keys = ["series_id", "model"]

@@ -171,7 +171,8 @@ def run(
 
     It is skipped when input, code and settings equal those of the newest run. The regression gate comes
     before anything it judges is published; a blocked run leaves the newest evaluation and
-    forecasts in place.
+    forecasts in place. Series too short for a backtest are forecast too, by the model their sparsity
+    asks for; a run without any series fails.
     """
     spark = charges.sparkSession
     run_id = run_id or run_log.new_run_id()
@@ -184,6 +185,8 @@ def run(
 
     long, rows_clean = load_monthly(charges, settings, root, run_id, rules, by)
     arrays = rebuild_arrays(long)
+    if not arrays.limit(1).count():
+        raise contracts.ContractError("no series has a complete month, so there is nothing to forecast")
     outliers, breaks = explore(arrays, settings)
     outliers = materialise(outliers, root, "outliers", run_id)
     breaks = materialise(breaks, root, "breaks", run_id)
@@ -196,7 +199,7 @@ def run(
         backtest_all(arrays, settings, first_breaks), root, "backtests", run_id
     )
     rank = None if named else selection.ranked_by(F.col("model"), ANY_SERIES_ORDER)
-    table = evaluate(results, rank)
+    table = selection.for_every_series(evaluate(results, rank), arrays)
     selection.regression_gate(table, run_log.prior_mase(spark, log, root))
     table = materialise(table, root, "evaluation", run_id)
 

@@ -476,8 +476,8 @@ STATEMENTS: dict[str, str] = {
                count(*) AS months, min(y) AS lowest, max(y) AS highest, min(month) AS first_month,
                max(month) AS data_through FROM filled GROUP BY 1""",
     "sparsity_route": f"""WITH {SUMS['payer']}, {SPAN},
-        d AS (SELECT series_id, count(*) AS nonzero_months FROM sums
-              WHERE month <= DATE '2001-07-01' AND y > 0 GROUP BY 1)
+        d AS (SELECT series_id, count(*) FILTER (month <= DATE '2001-07-01' AND y > 0) AS nonzero_months
+              FROM sums GROUP BY 1)
         SELECT series_id, nonzero_months, nonzero_months / n AS nonzero_frac,
                CASE WHEN nonzero_months / n >= 0.6 THEN 'level' ELSE 'croston' END AS route
         FROM d, span""",
@@ -820,10 +820,10 @@ _RATES = f"""WITH {SUMS['payer']}, {SPAN},
     calendar AS (SELECT 1), filled AS (SELECT 1),
     training AS (
         SELECT series_id, n AS o, date_diff('month', DATE '1995-01-01', month) AS idx,
-               CAST(y AS DOUBLE) AS y FROM sums, span WHERE month <= DATE '2001-07-01' AND y > 0),
+               CASE WHEN month <= DATE '2001-07-01' AND y > 0 THEN CAST(y AS DOUBLE) END AS y FROM sums, span),
     outliers AS (SELECT series_id, idx FROM training WHERE FALSE), {paths(1)}"""
 
-STATEMENTS["croston"] = f"{_RATES} SELECT series_id, m AS demand_months, rate FROM rates"
+STATEMENTS["croston"] = f"{_RATES} SELECT series_id, coalesce(m, 0) AS demand_months, rate FROM rates"
 STATEMENTS["croston_interval"] = f"""{_RATES}
     SELECT p.series_id, p.yhat AS rate, c.spread, p.lo80, p.hi80, p.lo95, p.hi95
     FROM paths p JOIN croston c ON c.series_id = p.series_id WHERE p.model = 'croston'"""

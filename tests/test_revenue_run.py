@@ -64,6 +64,19 @@ def test_published_tables(spark, published):
     assert summary == {"recurring": 72, "one_time": 72, "league": 36}
 
 
+def test_thirty_months_are_forecast_without_a_backtest(spark, tmp_path):
+    short = Settings(as_of=date(2019, 7, 15), series_start=date(2017, 1, 1), disruption_end=date(2017, 4, 1))
+    charges = history(spark).filter(F.col("created") < "2019-07-01")
+    revenue_run.run(charges, short, str(tmp_path), code_version="c1", run_id="r1")
+    table = run_log.read_latest(spark, str(tmp_path), "evaluation").collect()
+    assert {r["series_id"]: (r["model"], r["mase"]) for r in table} == {
+        "league": ("croston", None), "recurring": ("level", None), "one_time": ("level", None)
+    }
+    for months in (12, 24):
+        wide = run_log.read_latest(spark, str(tmp_path), f"forecast_{months}m").collect()
+        assert len(wide) == months and all(r["total_base"] > 0 for r in wide)
+
+
 def test_run_record(spark, published):
     root, charges, _ = published
     last = run_log.last_run(spark, f"{root}/runs")
