@@ -3,14 +3,21 @@
 A document's shingles are XOR-hashed into a bit sketch: each flips one bit, so two sketches differ in at most
 as many bits as the sets have shingles they do not share. At a Jaccard of ``a / 100`` or more, sets of sizes n
 and m differ in at most ``(n + m) * (100 - a) / (100 + a)`` shingles. Sizes fall into bands; the sketch of a band
-has one block of 64 bits more than its largest pair may differ in, so of two alike sketches at least one
-block is equal (pigeonhole), and equal blocks are joined. A document just above a band's upper end also takes
+has one block of 64 bits more than its largest pair may differ in, so of two alike sets at least one
+block holds the same shingles (pigeonhole), and equal blocks are joined. A block's key is the sum of its shingles'
+whole hashes, so blocks of few shingles are told apart too. A document just above a band's upper end also takes
 part in that band, since it may be like a document below. No pair is lost.
 
+Empty blocks are equal in documents that have nothing in common. Bands below ``MANY_BLOCKS`` blocks therefore have
+``SPARE`` more, so that at least ``SPARE + 1`` blocks are equal: one that is not empty, or so many empty
+ones, and a document's empty blocks are keyed by groups of ``SPARE + 1`` only. Where alike sets may not differ at all, the
+whole set is the block.
+
 Buckets of equal blocks may hold thousands of near copies, so their pairs are never listed. In each bucket
 the document that shares most with others is the hub; members are held against it, and what is alike
 becomes one class. In buckets that still hold several classes, members of different classes are held
-against each other. A pair is first held against the bound by short sketches of the whole sets (again parity,
+against each other, in tiles of bounded size that are dealt out in pairs, so a hot bucket is the work of many tasks.
+A pair is first held against the bound by short sketches of the whole sets (again parity,
 so a pair beyond the bound is surely not alike); the few that remain are verified on the sets of words.
 Pairs inside one class need no check, as only classes are asked for.
 
@@ -24,6 +31,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +51,14 @@ MANY_BLOCKS, WEAK_BITS = 64, 2
 #: Blocks of a band for each word of the short sketch, and words of a short sketch at least.
 BLOCKS_A_WORD, LEAST_WORDS = 4, 2
 
-#: Members of a bucket held against the others at once.
-TILE = 512
+#: Blocks that smaller bands have beyond those that pigeonhole asks for.
+SPARE = 3
+
+#: Members, and bytes of their short sketches, about, that a tile of a bucket may hold.
+TILE_ROWS, TILE_BYTES = 4096, 1 << 24
+
+#: Members of a tile held against members of another at once, at most, and bytes of the array this makes.
+TILE, ARRAY_BYTES = 512, 1 << 25
 
 #: Each band's sizes reach to half as much again as those of the band before.
 BAND_RATIO = 1.5
@@ -86,13 +100,27 @@ def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def bucket_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """A 64-bit key per band, block and block value that the document takes part with."""
-    keys = []
+    """A 64-bit key per band and block, or group of empty blocks, that the document takes part with."""
+    keys, whole = [], scramble(hashes)
     for b in bands_of(len(hashes), percent):
-        words = sketch(hashes, blocks_of(b, percent))
-        name = np.arange(len(words), dtype=np.uint64) + np.uint64(b << 40)
-        own = scramble(words + scramble(name))
-        keys.append(own if len(words) < MANY_BLOCKS else own[np.bitwise_count(words) > WEAK_BITS])
+        least = blocks_of(b, percent)
+        n = least + SPARE if 1 < least < MANY_BLOCKS else least
+        block = ((hashes >> np.uint64(6)) % np.uint64(n)).astype(np.int64)
+        sums = np.zeros(n, np.uint64)
+        np.add.at(sums, block, whole)
+        name = np.arange(n, dtype=np.uint64) + np.uint64(b << 40)
+        own = scramble(sums + scramble(name))
+        if n >= MANY_BLOCKS:
+            keys.append(own[np.bitwise_count(sketch(hashes, n)) > WEAK_BITS])
+            continue
+        held = np.bincount(block, minlength=n) > 0
+        keys.append(own[held])
+        empty = list(combinations(np.flatnonzero(~held).tolist(), SPARE + 1))
+        if empty:
+            group = np.zeros(len(empty), np.uint64)
+            for column in np.array(empty).T:
+                group = scramble(group + scramble(name[column]))
+            keys.append(group)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -214,65 +242,145 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def row_bytes(n: Column, percent: int) -> Column:
+    """At least the bytes of the short sketches of a set of ``n`` shingles."""
+    words = n * F.lit(BAND_RATIO * (100 - percent) / percent / BLOCKS_A_WORD) + F.lit(LEAST_WORDS + 1)
+    # Of each further band a third fewer.
+    return words * F.lit(8 / (1 - 1 / BAND_RATIO))
+
+
+def tiled(members: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, n, component) of buckets of several classes as key, node, component, tile, left, right.
+
+    A class that fills more than a tile has tiles of its own, the others of its bucket share theirs. ``left`` and
+    ``right`` name a pair of tiles to be held against each other; a row stands once for every pair its
+    tile is in. Two tiles of one class are no such pair, so a large class costs its size, not its square.
+    """
+
+    def parts(rows: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(rows / F.lit(TILE_ROWS)), F.ceil(size / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
+
+    of_class = members.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(F.col("n"), percent)).alias("size")
+    )
+    large = parts(F.col("rows"), F.col("size")) > 1
+    of_bucket = (
+        of_class.groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("classes"),
+            parts(F.sum(F.when(~large, F.col("rows")).otherwise(0)), F.sum(F.when(~large, F.col("size")).otherwise(0.0))).alias("shared"),
+            F.array_sort(
+                F.collect_list(F.when(large, F.struct("component", parts(F.col("rows"), F.col("size")).alias("parts"))))
+            ).alias("large"),
+        )
+        .where("classes > 1")
+        .drop("classes")
+    )
+    rows = members.select("key", "node", "component").join(of_bucket, "key")
+    # Group 0 is shared; the others are the large classes in order. A tile is a group and a part of it.
+    rows = rows.withColumn("group", F.array_position(F.transform("large", lambda c: c["component"]), F.col("component")).cast("long"))
+    sizes = F.concat(F.array("shared"), F.transform("large", lambda c: c["parts"]))
+    tile = lambda group, part: F.shiftleft(group.cast("long"), 32) + part.cast("long")
+    rows = rows.withColumn("sizes", sizes).withColumn(
+        "tile", tile(F.col("group"), F.pmod(F.xxhash64("node"), F.get("sizes", F.col("group").cast("int"))))
+    )
+    tiles = F.flatten(
+        F.transform("sizes", lambda n, g: F.transform(F.sequence(F.lit(0), n - 1), lambda part: tile(g, part)))
+    )
+    met = F.filter(tiles, lambda t: (F.col("group") == 0) | (F.shiftright(t, 32) != F.col("group")))
+    return rows.select("key", "node", "component", "tile", F.explode(met).alias("_met")).select(
+        "key", "node", "component", "tile", F.least("tile", "_met").alias("left"), F.greatest("tile", "_met").alias("right")
+    )
+
+
 def open_pairs(buckets: DataFrame, hubs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Near pairs (a, b) of different classes that share a bucket, apart from those with its hub.
 
-    Rows of the buckets that still hold several classes are dealt out by bucket, in order, and held against each
-    other as whole arrays, ``TILE`` rows at a time; only pairs within the bound leave the task.
+    Rows of the buckets that still hold several classes are dealt out by pairs of tiles and held against each other as
+    whole arrays; only pairs within the bound leave the task.
     """
     members = buckets.where("members > 2").join(hubs.select("key", F.col("hub.node").alias("_hub")), "key")
     members = members.where("node <> _hub").drop("_hub")
     of_class = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = (
-        of_class.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    )
-    rows = of_class.join(several.select("key"), "key").select("key", "node", "component")
-    dealt = rows.join(nodes.select("node", "n", "short"), "node").repartition("key").sortWithinPartitions("key")
+    rows = tiled(of_class.select("key", "node", "n", "component"), percent)
+    deal = ["key", "left", "right"]
+    dealt = rows.join(nodes.select("node", "n", "short"), "node").repartition(*deal).sortWithinPartitions(*deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
-            keys = table.column("key").to_numpy()
-            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            edges = _edges(table)
             if not len(edges):
                 rest = table
                 continue
             rest = table.slice(int(edges[-1]))
-            yield _near_in_buckets(table.slice(0, int(edges[-1])), percent)
+            yield _near_in_tiles(table.slice(0, int(edges[-1])), percent)
         if rest is not None:
-            yield _near_in_buckets(rest, percent)
+            yield _near_in_tiles(rest, percent)
 
     kind = nodes.schema["node"].dataType.simpleString()
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _near_in_buckets(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """Near pairs among rows that are in the order of their buckets."""
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+def _edges(rows: pa.RecordBatch) -> np.ndarray:
+    """Where another pair of tiles begins."""
+    named = [rows.column(c).to_numpy() for c in ("key", "left", "right")]
+    return np.flatnonzero(np.any([x[1:] != x[:-1] for x in named], axis=0)) + 1
+
+
+class _Shorts:
+    """The short sketches of a batch, read in place."""
+
+    def __init__(self, column: pa.ListArray):
+        sketches = column.values
+        self._of_row, self._bands = column.offsets.to_numpy(), sketches.field("band").to_numpy()
+        words = sketches.field("words")
+        self._of_words, self._words = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The sketches of these rows in the lowest band that all take part in."""
+        first, end = self._of_row[rows], self._of_row[rows + 1]
+        band = max(self._bands[a:b].min() for a, b in zip(first, end, strict=True))
+        at = [a + int(np.flatnonzero(self._bands[a:b] == band)[0]) for a, b in zip(first, end, strict=True)]
+        return np.stack([self._words[self._of_words[i] : self._of_words[i + 1]] for i in at])
+
+
+def _near_in_tiles(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Near pairs among rows that are in the order of their pairs of tiles."""
+    n, tile = rows.column("n").to_numpy(), rows.column("tile").to_numpy()
+    first, second = rows.column("left").to_numpy(), rows.column("right").to_numpy()
     classes = rows.column("component").to_numpy(zero_copy_only=False)
-    short = [{s["band"]: s["words"] for s in x} for x in rows.column("short").to_pylist()]
-    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    short = _Shorts(rows.column("short"))
+    begin = np.r_[0, _edges(rows)]
     left, right = [], []
-    for at, end in zip(begin, [*begin[1:], len(keys)], strict=True):
+    for at, end in zip(begin, [*begin[1:], rows.num_rows], strict=True):
         if end - at < 2:
             continue
-        band = max(min(s) for s in short[at:end])
-        words = np.array([s[band] for s in short[at:end]], np.int64).view(np.uint64)
-        size, own = n[at:end], classes[at:end]
-        for i in range(0, len(words), TILE):
-            part = slice(i, i + TILE)
-            apart = np.bitwise_count(words[part, None] ^ words[None, i:]).sum(axis=2, dtype=np.int64)
-            both = size[part, None] + size[None, i:]
-            near = apart <= both * (100 - percent) // (100 + percent)
-            near &= own[part, None] != own[None, i:]
-            near &= np.minimum(size[part, None], size[None, i:]) * 100 >= np.maximum(size[part, None], size[None, i:]) * percent
-            one, other = np.nonzero(np.triu(near, 1))
-            left.append(at + i + one)
-            right.append(at + i + other)
+        every = np.arange(at, end)
+        words = short.of(every)
+        one = every[tile[at:end] == first[at]]
+        other = every[tile[at:end] == second[at]]
+        step = max(1, min(TILE, int((ARRAY_BYTES / words[0].nbytes) ** 0.5)))
+        for i in range(0, len(one), step):
+            a = one[i : i + step]
+            for j in range(i if first[at] == second[at] else 0, len(other), step):
+                b = other[j : j + step]
+                open_ = classes[a][:, None] != classes[b][None]
+                both = n[a][:, None] + n[b][None]
+                open_ &= np.minimum(n[a][:, None], n[b][None]) * 100 >= np.maximum(n[a][:, None], n[b][None]) * percent
+                if first[at] == second[at]:
+                    open_ &= a[:, None] < b[None]
+                if not open_.any():
+                    continue
+                apart = np.bitwise_count(words[a - at][:, None] ^ words[b - at][None]).sum(axis=2, dtype=np.int64)
+                x, y = np.nonzero(open_ & (apart <= both * (100 - percent) // (100 + percent)))
+                left.append(a[x])
+                right.append(b[y])
     one, other = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    nodes = rows.column("node").to_pylist()
-    pairs = [sorted((nodes[i], nodes[j])) for i, j in zip(one, other, strict=True)]
+    nodes = rows.column("node")
+    a, b = (nodes.take(pa.array(x)).to_pylist() for x in (one, other))
+    pairs = [sorted(p) for p in zip(a, b, strict=True)]
     kind = rows.schema.field("node").type
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["a", "b"])
 

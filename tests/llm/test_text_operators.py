@@ -109,6 +109,51 @@ def test_parity_join_against_brute_force(spark, hostile, none):
     assert parity_join.one_of_each(docs_of(spark, texts)).columns == hostile.columns
 
 
+def test_parity_keys_join_alike_sets_and_few_others():
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 8, 20, 60, 110, 150, 200):
+        sets = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for _ in range(1500)]
+        held = np.concatenate([np.unique(parity_join.bucket_keys(s, 80)) for s in sets])
+        assert np.unique(held, return_counts=True)[1].max() <= 15  # of sets that share nothing, 1 %
+        for s in sets[:150]:
+            cut = parity_join.differing(size, size, 80) // 2
+            new = np.unique(np.r_[s[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)])
+            assert len(np.intersect1d(parity_join.bucket_keys(s, 80), parity_join.bucket_keys(new, 80)))
+
+
+def test_parity_join_deals_a_hot_bucket_out(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE_ROWS", 20)
+    monkeypatch.setattr(parity_join, "TILE", 7)
+    rng = random.Random(9)
+    rows = [(1, i, 100, 0 if i < 90 else i) for i in range(150)] + [(2, i, 100, i % 2) for i in range(4)] + [(3, i, 9, 7) for i in range(50)]
+    dealt = parity_join.tiled(spark.createDataFrame(rows, "key long, node long, n int, component long"), 80).collect()
+    tiles, met = {}, set()
+    for r in dealt:
+        tiles.setdefault((r.key, r.left, r.right), {}).setdefault(r.tile, []).append((r.node, r.component))
+    for (key, left, right), of_tile in tiles.items():
+        assert key != 3 and all(len(t) <= 45 for t in of_tile.values())
+        pairs = [(key, *sorted((x[0], y[0]))) for x in of_tile.get(left, []) for y in of_tile.get(right, []) if x[1] != y[1]]
+        met |= set(pairs)
+    wanted = {(k, *sorted((a, b))) for k, a, _, c in rows for m, b, _, d in rows if k == m and c != d}
+    assert met == wanted and len(tiles) > 15
+    # Two groups of near copies that share their blocks with each other's neighbours.
+    texts = []
+    for i in range(140):
+        words = [f"{w}{j}" for j in range(5) for w in BASE]
+        for _ in range(rng.randrange(3, 14)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(words)))
+    sets = {i: parity_join.shingle_set(parity_join.WORDS.split(t.encode()), 3) for i, t in texts}
+    least = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = {n: low if c == high else c for n, c in least.items()}
+    found = {r.doc_id: r.component_id for r in parity_join.near_classes(docs_of(spark, texts), 3, 80).collect()}
+    assert found == least and len(set(least.values())) > 2
+
+
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
