@@ -3,7 +3,8 @@
 A page's own rule is the longest that fits its url. Pages that are one page under several names are found
 as connected components over redirect edges, canonical links and the usual redirect conventions. A page
 without a rule of its own is blocked if one of its names is blocked, unless one of its names is allowed:
-an explicit allow comes first, on the page and in its class.
+an explicit allow comes first, on the page and in its class. Names are held against the rules whether or not a
+page of that name was crawled.
 
 Rules are an argument of bounded number and become part of the expression, so urls are not moved to judge
 them; only pages that have an alias take part in the components.
@@ -135,7 +136,11 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     names = names.union(edges.select("a")).union(edges.select("b")).where("name IS NOT NULL").distinct()
     usual = names.select(F.col("name").alias("a"), convention_of(F.col("name")).alias("b")).where("a <> b")
     classes = components(edges.union(usual))
-    own = named.where("best IS NOT NULL").groupBy("name").agg(F.max("best.allow").alias("allow"), F.min("best.allow").alias("not_block"))
+    # Names that only links, redirects or conventions lead to are judged as well.
+    node = F.concat(F.lit("any://"), F.col("node"))
+    of_nodes = classes.select(F.col("node").alias("name"), best_rule(host_of(node), path_of(node), rules).alias("best"))
+    judged = named.select("name", "best").union(of_nodes).where("best IS NOT NULL")
+    own = judged.groupBy("name").agg(F.max("best.allow").alias("allow"), F.min("best.allow").alias("not_block"))
     held = (
         classes.join(own, F.col("node") == F.col("name"))
         .groupBy("component")

@@ -236,6 +236,24 @@ def test_url_filter(spark):
     assert found[7].rule is None and found[7].verdict == "block"  # redirects to the blocked /de/
 
 
+def test_url_filter_judges_names_that_no_page_has(spark):
+    link = '<link rel="canonical" href="{0}">'
+    pages = [
+        (1, "http://a.net/1", link.format("http://gone.com/de/x")), (2, "http://b.net/2", link.format("http://gone.com/de/x")),
+        (3, "http://c.net/3", '<meta http-equiv="refresh" content="0; url=http://gone.com/de/y?ref=q">'),
+        (4, "http://d.net/4", link.format("http://gone.com/de/z")), (5, "http://e.net/5", link.format("http://free.org/5")),
+        (6, "http://f.net/6", ""), (7, "http://g.net/7", link.format("http://h.net/7")), (8, "http://i.net/8", ""),
+    ]
+    moved = [("http://d.net/4", "http://free.org/4"), ("http://f.net/6", "http://gone.com/de/6"), ("http://gone.com/de/8", "http://i.net/8")]
+    rules = [Rule("allow", "org/"), Rule("block", "com/de/")]
+    rows = url_filter.judge(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), rules, spark.createDataFrame(moved, "source string, target string")
+    )
+    found = {r.page_id: (r.rule, r.verdict) for r in rows.collect()}
+    assert {i for i, v in found.items() if v == (None, "block")} == {1, 2, 3, 6, 8}
+    assert {i for i, v in found.items() if v == (None, "allow")} == {4, 5, 7}
+
+
 def test_language(spark, hostile, none):
     rng = random.Random(2)
     words = {"en": "the and thing house water".split(), "de": "der und straße haus über".split()}
