@@ -89,18 +89,20 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of (doc_id, text, lang), as many of each language where there are enough.
+    """About ``rows`` rows of (doc_id, mark, text, lang), as many of each language where there are enough.
 
-    A row belongs if a hash of its id falls below the share its language is given; the same rows at any
-    partitioning. Counting the languages brings one row per language to the driver.
+    A row belongs if a hash of its id and text falls below the share its language is given; the same rows at any
+    partitioning. Ids may repeat or be null; rows that are equal in id and text (``mark`` is its hash) are taken once.
+    Counting the languages brings one row per language to the driver.
     """
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return labelled.limit(0)
+        return labelled.limit(0).select("doc_id", F.lit(0).cast("long").alias("mark"), "text", "lang")
     each = rows / len(sizes)
     shares = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / F.lit(1 << 20)
-    return labelled.where(chance < shares[F.col("lang")])
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) / F.lit(1 << 20)
+    chosen = labelled.where(chance < shares[F.col("lang")]).withColumn("mark", F.xxhash64("text"))
+    return chosen.groupBy("doc_id", "mark", "lang").agg(F.min("text").alias("text"))
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> Model:
@@ -117,12 +119,12 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> Model:
                 counts = subword_counts(text.as_py())
                 at.append(np.flatnonzero(counts).astype(np.int16 if ROWS <= 1 << 15 else np.int32))
                 n.append(counts[at[-1]].astype(np.float32))
-            columns = [batch.column("lang"), batch.column("doc_id"), pa.array(at, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "doc_id", "at", "n"])
+            columns = [batch.column("lang"), batch.column("doc_id"), batch.column("mark"), pa.array(at, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "doc_id", "mark", "at", "n"])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    stored = written(chosen.mapInArrow(counted, f"lang string, doc_id {kind}, at array<smallint>, n array<float>"), "language-sample")
-    rows_read = stored.orderBy("doc_id", "lang").toArrow().to_pydict()
+    stored = written(chosen.mapInArrow(counted, f"lang string, doc_id {kind}, mark bigint, at array<smallint>, n array<float>"), "language-sample")
+    rows_read = stored.orderBy("doc_id", "lang", "mark").toArrow().to_pydict()
     return train(rows_read["lang"], rows_read["at"], rows_read["n"], seed)
 
 

@@ -266,6 +266,15 @@ def test_language(spark, hostile, none):
     assert language.identify(none, language.fit(none)).count() == 0
 
 
+def test_language_sample_is_bounded_for_any_ids(spark):
+    ids = [None] * 3000 + [7] * 3000
+    texts = [f"text {i}" for i in range(5000)] + ["one and the same"] * 1000
+    rows = list(zip(ids, texts, ["en", "de"] * 3000, strict=True))
+    chosen = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 400).collect()
+    assert 300 < len(chosen) < 500 and len(set(chosen)) == len(chosen)
+    assert {r.doc_id for r in chosen} == {None, 7} and {r.lang for r in chosen} == {"en", "de"}
+
+
 def test_quality_learns_and_takes_any_text(spark, hostile, none):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(BASE, k=60)) if i % 2 else "".join(rng.choices("#$%*&! ", k=300)) for i in range(200)]
