@@ -13,6 +13,7 @@ from cashtide.llm import (
     query_quality,
     query_sharding,
     query_url_filter,
+    query_vector_codes,
 )
 
 _MODULES = (
@@ -26,6 +27,7 @@ _MODULES = (
     query_bpe,
     query_sharding,
     query_quality,
+    query_vector_codes,
 )
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
