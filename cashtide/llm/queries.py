@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cashtide.llm import (
+    query_archives,
     query_bpe,
     query_chat,
     query_decontaminate,
@@ -27,6 +28,7 @@ _MODULES = (
     query_bpe,
     query_sharding,
     query_quality,
+    query_archives,
     query_vector_codes,
 )
 
