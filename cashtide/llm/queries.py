@@ -12,6 +12,7 @@ from cashtide.llm import (
     query_license_scan,
     query_parity_join,
     query_quality,
+    query_search,
     query_sharding,
     query_url_filter,
     query_vector_codes,
@@ -28,6 +29,7 @@ _MODULES = (
     query_bpe,
     query_sharding,
     query_quality,
+    query_search,
     query_archives,
     query_vector_codes,
 )
