@@ -868,11 +868,10 @@ def stream_quarantine(spark, sf_dir):
     revenue.quarantine_to(
         event_stream(spark, sf_dir), rules, good, bad, f"{root}/checkpoint"
     ).awaitTermination()
-    schema = "event_id long, event_type string, value double, batch_id long"
-    read = lambda path, sink: spark.read.schema(schema).parquet(path).withColumn("sink", F.lit(sink))
+    sinks = revenue.read_judged(spark, good, bad, "event_id long, event_type string, value double, batch_id long")
     return (
-        read(good, "good")
-        .unionByName(read(bad, "quarantine"))
+        sinks[0].withColumn("sink", F.lit("good"))
+        .unionByName(sinks[1].withColumn("sink", F.lit("quarantine")))
         .groupBy("sink", "event_type")
         .agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
     )

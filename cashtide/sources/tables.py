@@ -16,6 +16,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library has written and no longer needs."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def require_columns(df: DataFrame, required: Iterable[str], source: str) -> DataFrame:
     """The same DataFrame, or an error naming every missing column."""
     missing = sorted(set(required) - set(df.columns))
