@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,12 @@ def naive_utc(df: DataFrame, column: str) -> Column:
     raise ValueError(f"{column!r} did not parse as a timestamp (it is {kind.simpleString()})")
 
 
+def is_kept(columns: Sequence[str], settings: Settings) -> Column:
+    """Whether :func:`clean_charges` keeps a charge; never NULL. For plans that also count the others."""
+    kept = F.coalesce(F.col("status") == "Paid", F.lit(False))
+    return kept & is_domestic(F.col("currency"), settings.home_currency) if "currency" in columns else kept
+
+
 def clean_charges(
     charges: DataFrame,
     settings: Settings,
@@ -40,7 +48,7 @@ def clean_charges(
 ) -> DataFrame:
     """``charges(created, amount, status, description[, currency])`` -> one row per kept charge:
     ``created, amount, category, description`` plus the ``keep`` columns."""
-    kept = charges.filter(F.col("status") == "Paid")
+    kept = charges.filter(F.col("status") == "Paid")  # plain, so that it reaches the scan
     if "currency" in charges.columns:
         kept = kept.filter(is_domestic(F.col("currency"), settings.home_currency))
     return kept.select(

@@ -59,11 +59,15 @@ def charge_rules(as_of: date, earliest_year: int = EARLIEST_YEAR) -> list[Rule]:
     ]
 
 
+def failure_counts(rules: Sequence[Rule]) -> list[Column]:
+    """Aggregates for one pass: rows, and per rule its failures."""
+    return [F.count("*").alias("rows"), *[F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate(rules)]]
+
+
 def rule_counts(rules: Sequence[Rule]) -> list[Column]:
-    """Aggregates for one pass: rows, and per rule its failures and one offending value."""
+    """:func:`failure_counts`, and per rule one offending value."""
     return [
-        F.count("*").alias("rows"),
-        *[F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate(rules)],
+        *failure_counts(rules),
         *[
             F.min(F.when(rule.broken, F.col(rule.column).cast("string"))).alias(f"s{i}")
             for i, rule in enumerate(rules)

@@ -15,14 +15,19 @@ def money(column: Column) -> Column:
     return F.round(column, 2).cast("double")
 
 
+def amount_aggregates(amount: Column) -> list[Column]:
+    """Count, sum, min and max of the amounts: all a run needs of them."""
+    return [
+        F.count(amount).alias("transactions"),
+        F.sum(amount).alias("total"),
+        F.min(amount).alias("smallest"),
+        F.max(amount).alias("largest"),
+    ]
+
+
 def amount_cells(charges: DataFrame, *keys: str | Column) -> DataFrame:
-    """Count, sum, min and max of the amounts per key: all a run needs from the raw charges."""
-    return charges.groupBy(*keys).agg(
-        F.count("amount").alias("transactions"),
-        F.sum("amount").alias("total"),
-        F.min("amount").alias("smallest"),
-        F.max("amount").alias("largest"),
-    )
+    """Count, sum, min and max of the amounts per key."""
+    return charges.groupBy(*keys).agg(*amount_aggregates(F.col("amount")))
 
 
 def category_summary(charges: DataFrame) -> DataFrame:

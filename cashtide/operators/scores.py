@@ -18,32 +18,41 @@ def winkler_term(y: Column, lo: Column, hi: Column, alpha: float = WINKLER_ALPHA
     return F.when(lo.isNotNull() & hi.isNotNull(), (hi - lo) + miss * (2 / alpha))
 
 
-def score(results: DataFrame) -> DataFrame:
-    """MASE, RMSE and Winkler score of every series and model, pooled over all origins."""
+def _score_aggregates() -> list[Column]:
     error = F.col("y") - F.col("yhat")
-    return (
-        results.groupBy("series_id", "model")
-        .agg(
-            F.count("*").alias("n"),
-            F.avg(F.abs(error)).alias("mae"),
-            F.max("scale").alias("scale"),
-            F.sqrt(F.avg(error * error)).alias("rmse"),
-            F.avg(winkler_term(F.col("y"), F.col("lo80"), F.col("hi80"))).alias("winkler80"),
-        )
-        .withColumn("mase", F.col("mae") / F.col("scale"))
-    )
+    return [
+        F.count("*").alias("n"),
+        F.avg(F.abs(error)).alias("mae"),
+        F.max("scale").alias("scale"),
+        F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.avg(winkler_term(F.col("y"), F.col("lo80"), F.col("hi80"))).alias("winkler80"),
+    ]
 
 
-def residual_arrays(results: DataFrame) -> DataFrame:
-    """Residuals per series and model in order of origin and step: windows x season values."""
+def _residuals() -> Column:
     ordered = F.array_sort(
         F.collect_list(
             F.struct("train_end", "step", (F.col("y") - F.col("yhat")).alias("residual"))
         )
     )
-    return results.groupBy("series_id", "model").agg(
-        F.transform(ordered, lambda r: r["residual"]).alias("residuals")
-    )
+    return F.transform(ordered, lambda r: r["residual"]).alias("residuals")
+
+
+def score(results: DataFrame) -> DataFrame:
+    """MASE, RMSE and Winkler score of every series and model, pooled over all origins."""
+    scored = results.groupBy("series_id", "model").agg(*_score_aggregates())
+    return scored.withColumn("mase", F.col("mae") / F.col("scale"))
+
+
+def residual_arrays(results: DataFrame) -> DataFrame:
+    """Residuals per series and model in order of origin and step: windows x season values."""
+    return results.groupBy("series_id", "model").agg(_residuals())
+
+
+def score_with_residuals(results: DataFrame) -> DataFrame:
+    """:func:`score` and :func:`residual_arrays` by one grouping, so that the backtests are read once."""
+    both = results.groupBy("series_id", "model").agg(*_score_aggregates(), _residuals())
+    return both.withColumn("mase", F.col("mae") / F.col("scale"))
 
 
 def acf(arrays: DataFrame, max_lag: int = 24) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cashtide.sources.ledger import FOLDER, Ledger, Part
 from cashtide.sources.tables import path_exists
 
 SCHEMA_VERSION = 1
@@ -60,35 +61,46 @@ def fingerprint_text(df: DataFrame) -> str:
     return as_text(fingerprint(df).first().asDict())
 
 
+def stage(df: DataFrame, root: str, name: str, run_id: str, fmt: str = "parquet", by: Sequence[str] = ()) -> str:
+    """Write ``<root>/<name>/run_id=<id>``, which nobody reads before it is published; its path."""
+    path = f"{root}/{name}/run_id={run_id}"
+    writer = df.write.mode("errorifexists").format(fmt).options(**WRITE_OPTIONS.get(fmt, {}))
+    (writer.partitionBy(*by) if by else writer).save(path)
+    return path
+
+
+def publish(spark: SparkSession, root: str, run_id: str, tables: Mapping[str, str]) -> None:
+    """Make all staged tables of a run (name -> path) the newest ones, by one commit: readers see all or none."""
+    ledger = Ledger(spark, f"{root}/{FOLDER}")
+    parts = [Part(name, path) for name, path in tables.items()]
+    # Numbered, so that a run may publish more than once; a repeated call adds nothing.
+    digest = settings_digest(sorted(tables.items()))
+    ledger.once(f"{run_id}/{digest}", 0, lambda commits: parts)
+
+
 def write_versioned(
     df: DataFrame, root: str, name: str, run_id: str, fmt: str = "parquet"
 ) -> str:
-    """Write ``<root>/<name>/run_id=<id>`` and then point ``latest`` at it.
-
-    A version becomes visible only through the pointer, and the pointer is written after the
-    committer has finished the data, so readers see the old version or the new one.
-    """
-    path = f"{root}/{name}/run_id={run_id}"
-    df.write.mode("errorifexists").format(fmt).options(**WRITE_OPTIONS.get(fmt, {})).save(path)
-    pointer = df.sparkSession.createDataFrame(
-        [(run_id, path, datetime.now(UTC).isoformat())], "run_id string, path string, at string"
-    )
-    pointer.coalesce(1).write.mode("append").json(f"{root}/{name}_latest")
+    """Stage one table and publish it."""
+    path = stage(df, root, name, run_id, fmt)
+    publish(df.sparkSession, root, run_id, {name: path})
     return path
 
 
+def published_tables(spark: SparkSession, root: str, run_id: str | None = None) -> dict[str, str]:
+    """Paths by name of what one run has published, the newest or the named one. Tables of one run belong together."""
+    commits = Ledger(spark, f"{root}/{FOLDER}").commits()
+    newest = run_id or (commits[-1].writer.partition("/")[0] if commits else None)
+    return {p.table: p.path for c in commits if c.writer.partition("/")[0] == newest for p in c.parts}
+
+
 def latest_version(spark: SparkSession, root: str, name: str) -> tuple[str, str] | None:
-    """(run id, path) of the newest version, or None when nothing was written yet."""
-    pointers = f"{root}/{name}_latest"
-    if not path_exists(spark, pointers):
-        return None
-    newest = (
-        spark.read.schema("run_id string, path string, at string")
-        .json(pointers)
-        .agg(F.max_by(F.struct("run_id", "path"), F.struct("at", "run_id")).alias("v"))
-        .first()["v"]
-    )
-    return (newest["run_id"], newest["path"]) if newest else None
+    """(run id, path) of the newest published version, or None when nothing was published yet."""
+    for commit in reversed(Ledger(spark, f"{root}/{FOLDER}").commits()):
+        for part in commit.parts:
+            if part.table == name:
+                return commit.writer.partition("/")[0], part.path
+    return None
 
 
 def read_latest(

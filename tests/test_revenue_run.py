@@ -10,6 +10,7 @@ from conftest import CHARGE_DDL
 from pyspark.sql import functions as F
 
 from cashtide import Settings
+from cashtide.operators import contracts
 from cashtide.operators.contracts import ContractError
 from cashtide.operators.selection import RegressionError
 from cashtide.plans import revenue_run
@@ -103,9 +104,13 @@ def test_hard_regression_blocks_before_the_forecast(spark, published):
         ).otherwise(F.col("amount")),
     )
     before = run_log.latest_version(spark, root, "forecast_12m")
+    every = run_log.published_tables(spark, root)
     with pytest.raises(RegressionError):
         revenue_run.run(worse, SETTINGS, root, code_version="c1", run_id="r3")
     assert run_log.latest_version(spark, root, "forecast_12m") == before
+    # No table moves, also not those that were staged before the gate.
+    assert run_log.published_tables(spark, root) == every
+    assert {run_log.latest_version(spark, root, name)[0] for name in every} == {"r1"}
     assert run_log.last_run(spark, f"{root}/runs")["run_id"] == "r1"
 
 
@@ -144,3 +149,64 @@ def test_horizons_share_their_beginning(spark, published):
     short = run_log.read_latest(spark, root, "forecast_12m")
     long = run_log.read_latest(spark, root, "forecast_24m")
     assert short.exceptAll(long).count() == 0
+
+
+def executed_plans(spark, since):
+    """Texts of the physical plans of all queries after the first ``since``, and their number."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(since, found.size())], found.size()
+
+
+def test_raw_charges_are_read_once(spark, tmp_path):
+    path, root = str(tmp_path / "charges"), str(tmp_path / "out")
+    history(spark).write.parquet(path)
+    charges = spark.read.schema(CHARGE_DDL).parquet(path)
+    _, before = executed_plans(spark, 0)
+    revenue_run.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
+    plans, _ = executed_plans(spark, before)
+    readers = [p for p in plans if f"file:{path}" in p]
+    assert len(readers) == 1 and readers[0].count(f"[file:{path}]") == 1
+
+
+def rows(spark, root, name):
+    return sorted(map(str, run_log.read_latest(spark, root, name).collect()))
+
+
+@pytest.mark.parametrize("stage", ["fit", "evaluate", "forecast"])
+def test_a_rerun_of_a_stage_equals_the_full_run(spark, published, stage):
+    root, charges, _ = published
+    names = ("monthly_long", "outliers", "breaks", "backtests", "evaluation", "forecast_12m", "forecast_24m")
+    before = {name: rows(spark, root, name) for name in names}
+    given = {"charges": charges} if stage == "evaluate" else {}
+    outcome = revenue_run.rerun(spark, stage, SETTINGS, root, "c1", run_id=f"again-{stage}", **given)
+    assert (outcome.rows_in, outcome.rows_clean, outcome.months) == (324, 180, 72)
+    assert {name: rows(spark, root, name) for name in names} == before
+    tables = run_log.published_tables(spark, root)
+    assert set(names) <= set(tables) and f"run_id=again-{stage}" in tables["forecast_24m"]
+    assert (f"run_id=again-{stage}" in tables["evaluation"]) == (stage != "forecast")
+    assert run_log.last_run(spark, f"{root}/runs")["run_id"] == f"again-{stage}"
+
+
+def test_stale_tables_are_refused(spark, published, tmp_path):
+    root, charges, _ = published
+    with pytest.raises(run_log.StaleModelError, match="fit again"):
+        revenue_run.rerun(spark, "forecast", SETTINGS, root, "c1", charges=charges.limit(300))
+    other = Settings(as_of=date(2023, 1, 15), series_start=date(2018, 1, 1), cv_windows=2)
+    with pytest.raises(run_log.StaleModelError, match="other settings"):
+        revenue_run.rerun(spark, "evaluate", other, root, "c1")
+    with pytest.raises(FileNotFoundError):
+        revenue_run.rerun(spark, "fit", SETTINGS, str(tmp_path / "nothing"), "c1")
+    with pytest.raises(ValueError, match="begins at"):
+        revenue_run.rerun(spark, "data", SETTINGS, root, "c1")
+
+
+def test_the_reduction_counts_what_the_contract_and_the_fingerprint_ask_for(spark):
+    charges = history(spark).unionByName(spark.createDataFrame([(None, None, None, None, None)], CHARGE_DDL))
+    cells = revenue_run.reduced(charges, SETTINGS)
+    fingerprint, counted = revenue_run.inspect(cells, SETTINGS)
+    assert fingerprint == run_log.fingerprint_text(charges)
+    report = contracts.quality_report(charges, contracts.charge_rules(SETTINGS.as_of)).collect()
+    assert [counted[f"n{i}"] for i in range(len(report))] == [r.failures for r in report]
+    assert counted["rows"] == report[0].rows == 325
+    nothing = charges.limit(0)
+    assert revenue_run.inspect(revenue_run.reduced(nothing, SETTINGS), SETTINGS)[0] == run_log.fingerprint_text(nothing)
