@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.operators import forecasters
+from cashtide.operators import contracts, forecasters
 from cashtide.operators.forecasters import explode_path, last_known_month
 from cashtide.settings import Settings
 
@@ -138,3 +138,54 @@ def score_requests(
             F.when(asked == 95, F.col("hi95")).otherwise(F.col("hi80")).alias("hi"),
         )
     )
+
+
+def serve(
+    requests: DataFrame, total: DataFrame, keep: Sequence[str] = (), max_horizon: int = MAX_HORIZON
+) -> tuple[DataFrame, DataFrame]:
+    """(answers, refused requests with their reasons), as a service would: an answer is right or it fails.
+
+    ``requests(request_id, horizon, level)`` may have the columns of ``keep`` besides; any other field is an error. Requests
+    that break the request rules are refused, a missing level is 80. Each other request is answered with all its months,
+    and the query fails, naming the request, where the forecast is short, has a month twice, a value that is
+    missing, infinite or negative, or bounds the wrong way round. The stored forecast is one small array that every
+    request takes its months from, so requests are not moved.
+    """
+    contracts.require_known_columns(requests, (*contracts.REQUEST_COLUMNS, *keep))
+    judged = contracts.with_reasons(contracts.with_default_level(requests), contracts.request_rules(max_horizon))
+    refused = judged.where(F.size("reasons") > 0)
+    asked = judged.where(F.size("reasons") == 0).select("request_id", F.col("horizon").cast("int").alias("horizon"), "level", *keep)
+    stored = total.where(F.col("step").between(1, max_horizon)).agg(
+        F.array_sort(F.collect_list(F.struct("step", "month", F.col("total").alias("yhat"), *BOUNDS))).alias("months")
+    )
+
+    def answer(months: Column) -> Column:
+        wide = F.col("level") == 95
+        return F.transform(
+            F.filter(months, lambda m: m["step"] <= F.col("horizon")),
+            lambda m: F.struct(
+                m["step"].alias("step"),
+                m["month"].alias("month"),
+                m["yhat"].alias("yhat"),
+                F.when(wide, m["lo95"]).otherwise(m["lo80"]).alias("lo"),
+                F.when(wide, m["hi95"]).otherwise(m["hi80"]).alias("hi"),
+            ),
+        )
+
+    def checked(path: Column) -> Column:
+        every = lambda holds: F.coalesce(F.forall(path, holds), F.lit(False))
+        finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+        steps = F.transform(path, lambda m: m["step"].cast("int"))
+        faults = F.concat_ws(
+            ", ",
+            F.when(steps != F.sequence(F.lit(1), F.col("horizon")), "months missing or repeated"),
+            F.when(~every(lambda m: finite(m["yhat"]) & finite(m["lo"]) & finite(m["hi"])), "values missing or infinite"),
+            F.when(F.exists(path, lambda m: (m["yhat"] < 0) | (m["lo"] < 0) | (m["hi"] < 0)), "values negative"),
+            F.when(F.exists(path, lambda m: m["lo"] > m["hi"]), "bounds crossed"),
+        )
+        told = F.concat(F.lit("forecast contract, request "), F.col("request_id").cast("string"), F.lit(": "), faults)
+        return F.when(faults == "", path).otherwise(F.raise_error(told))
+
+    answers = asked.withColumn("_months", stored.scalar())
+    answers = answers.withColumn("_path", answer(F.col("_months"))).withColumn("_path", checked(F.col("_path")))
+    return answers.select("request_id", "horizon", "level", *keep, F.inline("_path")), refused

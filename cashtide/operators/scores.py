@@ -104,7 +104,7 @@ def ljung_box(residuals: DataFrame, max_lags: int = 12) -> DataFrame:
 def ljung_box_p(q_by_lag: DataFrame) -> DataFrame:
     """Smallest Ljung-Box p-value over the lags of every series and model."""
     return (
-        q_by_lag.withColumn("p", chi_square_tail("q", "lag"))
+        q_by_lag.withColumn("p", chi_square_tail(F.col("q"), F.col("lag")))
         .groupBy("series_id", "model")
         .agg(F.min("p").alias("ljung_box_p"))
     )

@@ -403,6 +403,13 @@ def score_requests(spark, sf_dir):
     return scored_requests(spark, sf_dir)
 
 
+@query("request_id# horizon# level# step# month@ yhat~2 lo~2 hi~2")
+def serve_requests(spark, sf_dir):
+    """The same answers by the serving plan, which refuses what breaks the contract, without a shuffle of requests."""
+    requests = demo.forecast_requests(spark, sf_dir).drop("asked_at")
+    return outlook.serve(requests, total_forecast(spark, sf_dir, 24))[0]
+
+
 @query("series_id prior_mase~4 mase~4 baseline_mase~4 ratio~5 verdict")
 def regression_gate(spark, sf_dir):
     table = group_evaluation(spark, sf_dir)
@@ -784,14 +791,8 @@ def content_fingerprint(spark, sf_dir):
 
 @query("request model version# run_id")
 def resolve_version(spark, sf_dir):
-    versions = demo.model_versions(spark, sf_dir)
-    found = [
-        run_log.resolve_versions(versions, F.lit(wanted), "intervals-v1").withColumn(
-            "request", F.lit(wanted)
-        )
-        for wanted in ("latest", "champion", "17")
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    requests = spark.createDataFrame([("latest",), ("champion",), ("17",)], "request string")
+    return run_log.resolve_requests(demo.model_versions(spark, sf_dir), requests, "intervals-v1")
 
 
 @query("column psi~9 values# reference_rows# current_rows#")
@@ -799,6 +800,12 @@ def psi(spark, sf_dir):
     return drift.psi(demo.drift_samples(spark, sf_dir), ("event_type", "k"))
 
 
+@query("column psi~9 bins# reference_rows# current_rows#")
+def psi_binned(spark, sf_dir):
+    """Drift of continuous columns over bins of the reference period."""
+    return drift.psi_binned(demo.drift_samples(spark, sf_dir), ("value", "user_id"))
+
+
 @query("column psi~9 drifted threshold~2 drifted_columns# drifted_share~6")
 def drift_report(spark, sf_dir):
     return drift.drift_report(

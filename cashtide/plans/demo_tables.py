@@ -195,6 +195,8 @@ def drift_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("period"),
         "event_type",
         F.get_json_object("props", "$.k").alias("k"),
+        "value",
+        "user_id",
     )
 
 

@@ -114,18 +114,11 @@ def stage_data(work: Workspace, cells: DataFrame, settings: Settings, by: str =
         .agg(F.sum("total").alias("y"))
     )
     streams = settings.streams if by == CATEGORY else None
-    long = work.put(monthly.fill_calendar(sums, settings, streams=streams), "monthly_long")
-    if long.isEmpty():
+    # Stored as a row per series, which is how every later stage takes it: none moves rows to bring a series together.
+    arrays = work.put(monthly.series_arrays(sums, settings, streams=streams), "series_arrays")
+    if arrays.isEmpty():
         raise contracts.ContractError("no series has a complete month, so there is nothing to forecast")
-    return long, rows_clean
-
-
-def rebuild_arrays(long: DataFrame) -> DataFrame:
-    """Series arrays from a stored long series that has every month."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "y")))
-    return long.groupBy("series_id").agg(
-        F.min("month").alias("first_month"), F.transform(ordered, lambda p: p["y"]).alias("ys")
-    )
+    return work.put(monthly.to_long(arrays), "monthly_long"), rows_clean
 
 
 def explore(arrays: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +186,7 @@ def _regressors(work: Workspace, by: str) -> DataFrame:
 
 def stage_fit(work: Workspace, settings: Settings, by: str = CATEGORY) -> None:
     """Outliers, breaks, and the backtests of every model a series may be given."""
-    arrays = rebuild_arrays(work.get("monthly_long"))
+    arrays = work.get("series_arrays")
     outliers, breaks = explore(arrays, settings)
     work.put(outliers, "outliers")
     work.put(breaks, "breaks")
@@ -205,7 +198,7 @@ def stage_evaluate(
 ) -> None:
     """Scores, the evaluation table, and the regression gate on it. Backtests are read once, and the table the gate
     has judged is the one that is published."""
-    arrays = rebuild_arrays(work.get("monthly_long"))
+    arrays = work.get("series_arrays")
     scored = work.put(scores.score_with_residuals(work.get("backtests")), "scores")
     rank = None if by == CATEGORY else selection.ranked_by(F.col("model"), ANY_SERIES_ORDER)
     table = work.put(selection.for_every_series(evaluate_scored(scored, rank), arrays), "evaluation")
@@ -214,7 +207,7 @@ def stage_evaluate(
 
 def stage_forecast(work: Workspace, settings: Settings, by: str = CATEGORY) -> None:
     """Forecasts of every series by its model. A shorter horizon is the beginning of the longer one."""
-    marked = forecasters.with_outlier_positions(rebuild_arrays(work.get("monthly_long")), work.get("outliers"))
+    marked = forecasters.with_outlier_positions(work.get("series_arrays"), work.get("outliers"))
     longest = work.put(
         forecast_selected(marked, work.get("evaluation"), settings.long_horizon, settings, _regressors(work, by)),
         f"forecast_{settings.long_horizon}m_long",

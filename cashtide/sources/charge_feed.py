@@ -17,6 +17,7 @@ from cashtide.functions.charge_fields import (
 )
 from cashtide.sources.tables import require_columns
 
+# The fields of a charge that are read.
 CHARGE_SCHEMA = """
     id string, created bigint, amount bigint, amount_refunded bigint, currency string,
     status string, captured boolean, description string, failure_message string,
@@ -43,6 +44,12 @@ SNAPSHOT_COLUMNS = (
     *(f"{key} (metadata)" for key in METADATA_KEYS),
 )
 
+# Snapshot columns that are no text.
+SNAPSHOT_TYPES = {
+    "Amount": "double", "Amount Refunded": "double", "Captured": "boolean", "Converted Amount": "double",
+    "Converted Amount Refunded": "double", "Fee": "double", "Taxes On Fee": "double",
+}
+
 # Columns about a person that never leave the source.
 PERSON_COLUMNS = ("Customer Email", "Customer Description", "Customer ID", "Card ID")
 
@@ -105,11 +112,12 @@ def charges_from_snapshot(snapshot: DataFrame, source: str = "snapshot") -> Data
 
 
 def minimise(snapshot: DataFrame) -> DataFrame:
-    """Only the contract columns, whatever else an extract carries; missing ones are NULL."""
+    """Only the contract columns, whatever else an extract carries; missing ones are NULLs of the type that flattened
+    charges have there, so both unite."""
     have = set(snapshot.columns)
     return snapshot.select(
         *[
-            F.col(f"`{name}`") if name in have else F.lit(None).cast("string").alias(name)
+            F.col(f"`{name}`") if name in have else F.lit(None).cast(SNAPSHOT_TYPES.get(name, "string")).alias(name)
             for name in SNAPSHOT_COLUMNS
         ]
     )

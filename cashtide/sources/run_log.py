@@ -267,3 +267,31 @@ def resolve_versions(
             F.max_by("run_id", "version").alias("run_id"),
         )
     )
+
+
+def resolve_requests(versions: DataFrame, requests: DataFrame, contract: str, model: str = "model") -> DataFrame:
+    """Versions for a whole table of requests: request, model, version, run_id, by the rules of :func:`resolve_versions`.
+
+    A version answers up to three keys: its number, its alias, and 'latest' where it carries ``contract``. The
+    highest version of every model and key is found first, in one pass with partial aggregation; requests then meet
+    these by equality. ``requests(request[, model])``: without a model a request is answered for all. Equal requests are
+    one; a request without an answer has no row.
+    """
+    number = F.struct(F.lit("number").alias("kind"), F.col("version").cast("string").alias("key"))
+    alias = F.when(F.col("alias").isNotNull(), F.struct(F.lit("alias").alias("kind"), F.col("alias").alias("key")))
+    fits = F.when(F.col("contract") == contract, F.struct(F.lit("latest").alias("kind"), F.lit("").alias("key")))
+    answers = (
+        versions.select(model, "version", "run_id", F.inline(F.array_compact(F.array(number, alias, fits))))
+        .groupBy(model, "kind", "key")
+        .agg(F.max("version").alias("version"), F.max_by("run_id", "version").alias("run_id"))
+    )
+    wanted = F.col("request")
+    is_number, is_latest = wanted.rlike("^[0-9]+$"), F.lower(wanted) == "latest"
+    keyed = requests.distinct().withColumns(
+        {
+            "kind": F.when(is_number, "number").when(is_latest, "latest").otherwise("alias"),
+            "key": F.when(is_number, wanted.try_cast("int").cast("string")).when(is_latest, "").otherwise(wanted),
+        }
+    )
+    on = ["kind", "key", model] if model in requests.columns else ["kind", "key"]
+    return keyed.join(answers, on).select("request", model, "version", "run_id")

@@ -67,11 +67,11 @@ def _typed(field: T.StructField, as_time: bool):
 def read_optional(
     spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet"
 ) -> DataFrame:
-    """A table that may be absent; then an empty DataFrame with the same schema.
+    """A table that may be absent, or a CSV without even a header; then an empty DataFrame with the same schema.
 
-    Only absence is forgiven: a table that exists but cannot be read still fails.
+    Nothing else is forgiven: a table that exists but cannot be read still fails.
     """
-    if not path_exists(spark, path):
+    if not path_exists(spark, path) or fmt == "csv" and spark.read.text(path).isEmpty():
         return spark.createDataFrame([], schema)
     if fmt == "csv":
         return read_csv(spark, path, schema)

@@ -272,6 +272,28 @@ def psi_of(samples: str) -> str:
         FROM shares GROUP BY 1)"""
 
 
+NUMBER_SAMPLES = """
+    SELECT 'value' AS col, CAST(value AS DOUBLE) AS v,
+           CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'reference' ELSE 'current' END AS period
+    FROM events
+    UNION ALL
+    SELECT 'user_id', CAST(user_id AS DOUBLE),
+           CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'reference' ELSE 'current' END
+    FROM events"""
+
+# Values of the reference period at the ranks of nine tenths are edges; a value's bin counts the edges below it.
+BINNED = f"""numbers AS (SELECT * FROM ({NUMBER_SAMPLES}) WHERE v IS NOT NULL),
+    ranked AS (
+        SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS place, count(*) OVER (PARTITION BY col) AS n
+        FROM numbers WHERE period = 'reference'),
+    edges AS (
+        SELECT DISTINCT col, v AS edge FROM ranked JOIN range(1, 10) r(i)
+        ON place = CAST(ceil((i / 10.0::DOUBLE) * n) AS BIGINT)),
+    edge_lists AS (SELECT col, list(edge) AS edges FROM edges GROUP BY 1),
+    binned AS (
+        SELECT n.col, CAST(len(list_filter(e.edges, lambda edge: edge < n.v)) AS VARCHAR) AS value, n.period
+        FROM numbers n JOIN edge_lists e ON e.col = n.col)"""
+
 EVENT_SAMPLES = """
     SELECT 'event_type' AS col, event_type AS value,
            CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'reference' ELSE 'current' END AS period
@@ -674,6 +696,8 @@ STATEMENTS: dict[str, str] = {
         SELECT request, model, max(version) AS version, arg_max(p_name, version) AS run_id
         FROM found GROUP BY 1, 2""",
     "psi": f"WITH {psi_of(EVENT_SAMPLES)} SELECT * FROM psi",
+    "psi_binned": f"""WITH {BINNED}, {psi_of("SELECT * FROM binned")}
+        SELECT "column", psi, "values" AS bins, reference_rows, current_rows FROM psi""",
     "drift_report": f"""WITH {psi_of(EVENT_SAMPLES)}
         SELECT "column", psi, psi >= 0.02 AS drifted, 0.02 AS threshold,
                count(*) FILTER (psi >= 0.02) OVER () AS drifted_columns,
@@ -698,6 +722,8 @@ STATEMENTS: dict[str, str] = {
                sum(CAST(value AS DECIMAL(18,2))) AS total FROM events GROUP BY 1, 2""",
 }
 
+STATEMENTS["serve_requests"] = STATEMENTS["score_requests"]
+
 # Tail of the chi-square by the series of the incomplete gamma function.
 STATEMENTS["ljung_box_p"] = f"""
     WITH tested AS ({STATEMENTS["ljung_box_q"]}),

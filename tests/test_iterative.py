@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cashtide import Settings
 from cashtide.functions import batch_models
-from cashtide.functions.tails import chi_square_sf, shapiro_wilk
+from cashtide.functions.tails import chi_square_tail, shapiro_wilk
 from cashtide.operators import iterative, scores
 from cashtide.operators.robust import first_break
 
@@ -219,6 +219,30 @@ def test_shapiro_wilk_published_example():
     assert shapiro_wilk(np.array([2.0, 2.0, 2.0])) is None
 
 
+def chi_square_sf(q, df):
+    """The closed form: a finite Poisson sum, plus an error function when ``df`` is odd."""
+    if q <= 0:
+        return 1.0
+    half, odd = q / 2.0, df % 2
+    tail = math.erfc(math.sqrt(half)) if odd else 0.0
+    for j in range(df // 2):
+        power = j + 0.5 * odd
+        tail += math.exp(power * math.log(half) - half - math.lgamma(power + 1.0))
+    return min(1.0, tail)
+
+
+def test_chi_square_tail_as_columns(spark):
+    cases = [(q, df) for df in (1, 2, 3, 4, 7, 12, 13, 60, 201, 1000) for q in (1e-9, 0.3, 1.0, df * 0.5, df - 1.0, df + 1.99, df + 2.01, df * 1.5, df * 4.0, 3000.0)]
+    rows = spark.createDataFrame([*cases, (None, 3), (float("nan"), 3), (-1.0, 2)], "q double, df int")
+    plan = rows.select("q", "df", chi_square_tail(rows.q, rows.df).alias("p"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    for row in plan.collect():
+        if row.q is None or math.isnan(row.q):
+            assert row.p is None
+        else:
+            assert row.p == pytest.approx(chi_square_sf(row.q, row.df), rel=1e-9, abs=1e-12), row
+
+
 @pytest.mark.parametrize(
     "q, df, p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (0.0, 4, 1.0)]
 )
