@@ -229,19 +229,23 @@ def run(
     rules: tuple[StreamRule, ...] = DEFAULT_RULES,
     by: str = CATEGORY,
     ratio: float = selection.DEFAULT_RATIO,
+    known_fingerprint: str | None = None,
 ) -> PublishedRun:
     """A full run that publishes its tables below ``root``.
 
     It is skipped when input, code and settings equal those of the newest run. Gates come before anything is
     published: a run that breaks the charge contract, or whose models got worse than ``ratio`` times their former
     error and worse than the benchmark, leaves all newest tables in place. Series too short for a backtest are
-    forecast too, by the model their sparsity asks for; a run without any series fails.
+    forecast too, by the model their sparsity asks for; a run without any series fails. ``known_fingerprint``, as
+    ``partition_digests.refresh`` keeps it, lets a run be skipped before any charge is read.
     """
     spark = charges.sparkSession
     work = Workspace(spark, root, run_id or run_log.new_run_id())
     log = f"{root}/runs"
     prior = None if force else run_log.last_run(spark, log)
     asked = run_log.settings_digest(settings, rules, by)
+    if known_fingerprint and run_log.unchanged(prior, known_fingerprint, code_version, asked):
+        return PublishedRun(work.run_id, skipped=True)
     # Split by `kept`, so that the kept cells are a folder of their own.
     reduction = reduced(charges, settings, rules, by)
     path = run_log.stage(reduction, root, "reduction", work.run_id, by=["kept"])
