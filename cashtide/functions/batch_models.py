@@ -311,42 +311,6 @@ def decompose(
     return trend, season, y - season - trend
 
 
-def change_points(y: np.ndarray, penalty: float, min_size: int, jump: int) -> list[int]:
-    """Segment ends of one series by PELT with a Gaussian-kernel cost.
-
-    The bandwidth is the median squared distance. ``jump`` is the grid of admissible ends.
-    """
-    n = len(y)
-    squared = (y[:, None] - y[None]) ** 2
-    pairs = squared[np.triu_indices(n, 1)]
-    median = np.median(pairs) if len(pairs) else 0.0
-    gram = np.exp(-np.clip(squared / (median if median else 1.0), 1e-2, 1e2))
-    np.fill_diagonal(gram, 1.0)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = gram.cumsum(axis=0).cumsum(axis=1)
-
-    def cost(a: int, b: int) -> float:
-        block = total[b, b] - total[a, b] - total[b, a] + total[a, a]
-        return (b - a) - block / (b - a)
-
-    ends = [k for k in range(0, n, jump) if k >= min_size] + [n]
-    best: dict[int, float] = {0: 0.0}
-    origin: dict[int, int] = {}
-    candidates: list[int] = [0]
-    for end in ends:
-        tried = [(best[s] + cost(s, end) + penalty, s) for s in candidates if end - s >= min_size]
-        if not tried:
-            continue
-        best[end], origin[end] = min(tried)
-        dropped = {s for value, s in tried if value > best[end] + penalty}
-        candidates = [s for s in candidates if s not in dropped] + [end]
-    out, at = [], n
-    while origin.get(at):
-        at = origin[at]
-        out.append(at)
-    return out[::-1]
-
-
 # ---- Arrow-batched functions -----------------------------------------------------------------
 
 
@@ -410,13 +374,3 @@ def stl_udf(season: int, seasonal_span: int, trend_span: int, inner: int, outer:
         return pd.DataFrame(_by_length(ys, fit), columns=["trend", "seasonal", "remainder"])
 
     return stl
-
-
-def breaks_udf(penalty: float, min_size: int, jump: int):
-    @F.pandas_udf("array<int>")
-    def breaks(ys: pd.Series) -> pd.Series:
-        return ys.map(
-            lambda y: change_points(np.asarray(y, dtype=float), penalty, min_size, jump)
-        )
-
-    return breaks

@@ -1,15 +1,11 @@
-"""p-values that Spark SQL lacks: the chi-square tail as columns, Shapiro-Wilk as an Arrow-batched function."""
+"""The chi-square tail, which Spark SQL lacks, as columns."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cashtide.functions.folds import let
 
@@ -53,56 +49,3 @@ def chi_square_tail(q: Column, df: Column) -> Column:
     pair = F.struct((whole / 2.0).alias("a"), (q / 2.0).alias("x"), log_gamma_of_half(whole).alias("log_gamma"))
     tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(pair, of)))
     return F.when(q.isNull() | F.isnan(q), F.lit(None)).when(q <= 0, F.lit(1.0)).otherwise(tail)
-
-
-@F.pandas_udf(T.DoubleType())
-def shapiro_wilk_p(samples: pd.Series) -> pd.Series:
-    """Shapiro-Wilk p-value of each array; NULL without one, below three values or without any spread."""
-    return samples.map(lambda sample: None if sample is None else shapiro_wilk(np.asarray(sample, dtype=float)))
-
-
-def _weights(n: int) -> np.ndarray:
-    """Royston's approximation to the optimal weights of the order statistics."""
-    if n == 3:
-        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    scores = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    square, u = float(scores @ scores), 1.0 / math.sqrt(n)
-    # Published polynomial coefficients, highest power first.
-    outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
-    inner = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
-    ends = [outer + scores[-1] / math.sqrt(square)]
-    if n > 5:
-        ends.append(inner + scores[-2] / math.sqrt(square))
-    k = len(ends)
-    rest = square - 2 * sum(scores[-1 - i] ** 2 for i in range(k))
-    weights = scores / math.sqrt(rest / (1 - 2 * sum(a * a for a in ends)))
-    for i, a in enumerate(ends):
-        weights[-1 - i], weights[i] = a, -a
-    return weights
-
-
-def shapiro_wilk(values: np.ndarray) -> float | None:
-    """p-value by Royston's 1995 approximation."""
-    x, n = np.sort(values), len(values)
-    if n < 3 or np.ptp(x) == 0:
-        return None
-    centred = x - x.mean()
-    w = min(1.0, float(_weights(n) @ x) ** 2 / float(centred @ centred))
-    if n == 3:
-        return max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-    if w >= 1.0:
-        return 1.0
-    miss = math.log1p(-w)
-    # Published transformations to a standard normal.
-    if n <= 11:
-        gamma = 0.459 * n - 2.273
-        if miss >= gamma:
-            return 0.0
-        y = -math.log(gamma - miss)
-        mean = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
-        sigma = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        y, size = miss, math.log(n)
-        mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], size)
-        sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], size))
-    return NormalDist().cdf(-(y - mean) / sigma)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions import batch_models, folds
+from cashtide.functions.breaks import change_points
 from cashtide.functions.theta import theta
 from cashtide.operators import forecasters
 from cashtide.operators.backtest import compare_paths, cv_windows
@@ -224,11 +225,10 @@ def stl(
 def structural_breaks(
     arrays: DataFrame, penalty: float = 15.0, min_size: int = 2, jump: int = 5
 ) -> DataFrame:
-    """Break months by PELT. A break is reported as the last month of the segment before it."""
-    fit = batch_models.breaks_udf(penalty, min_size, jump)
+    """Break months by the segmentation that PELT finds. A break is reported as the last month of the segment before it."""
     return (
         spread_out(arrays, "series_id")
-        .withColumn("ends", fit("ys"))
+        .withColumn("ends", change_points(F.col("ys"), penalty, min_size, jump))
         .select("series_id", "first_month", F.explode("ends").alias("segment_end"))
         .select(
             "series_id",

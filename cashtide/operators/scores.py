@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cashtide.functions import folds
 from cashtide.functions.correlation import autocorrelation, levinson
-from cashtide.functions.tails import chi_square_tail, shapiro_wilk_p
+from cashtide.functions.normality import shapiro_wilk_p
+from cashtide.functions.tails import chi_square_tail
 
 WINKLER_ALPHA = 0.20
 

@@ -3,6 +3,7 @@ folds over arrays. Statements share named sub-selects and end in the layout of t
 
 from __future__ import annotations
 
+from cashtide.functions import normality
 from cashtide.plans.catalog import LAYOUTS
 
 # ---- shared sub-selects ----------------------------------------------------------------------
@@ -842,6 +843,52 @@ STATEMENTS["breaks"] = f"""WITH RECURSIVE {GROUP},
            CAST(DATE '1995-01-01' + to_months(CAST(w.pos * 5 - 1 AS INTEGER)) AS DATE) AS month
     FROM walk w JOIN solved s ON s.id = w.id WHERE w.pos < s.cells"""
 
+
+
+def _horner(coefficients, x: str) -> str:
+    text = repr(float(coefficients[0]))
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {float(c)!r}::DOUBLE)"
+    return text
+
+
+def _ratio(form, x: str) -> str:
+    return f"{_horner(form[0], x)} / {_horner(form[1], x)}"
+
+
+# Shapiro-Wilk of more than eleven residuals a series, which is what every backtest here has. The tail of the normal
+# is the series of the incomplete gamma function at one half.
+STATEMENTS["shapiro"] = f"""WITH {GROUP_BACKTEST},
+    ordered AS (
+        SELECT series_id AS id, y - yhat AS x,
+               row_number() OVER (PARTITION BY series_id ORDER BY y - yhat) AS i, count(*) OVER (PARTITION BY series_id) AS n
+        FROM results WHERE model = 'level'),
+    placed AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) - 0.5::DOUBLE AS q FROM ordered),
+    scored AS (
+        SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(normality.MIDDLE, "(0.180625::DOUBLE - q * q)")}
+                       WHEN t <= 5 THEN sign(q) * {_ratio(normality.SHOULDER, "(t - 1.6::DOUBLE)")}
+                       ELSE sign(q) * {_ratio(normality.FAR, "(t - 5.0::DOUBLE)")} END AS s
+        FROM (SELECT *, sqrt(-ln(least(q + 0.5, 0.5 - q))) AS t FROM placed)),
+    sizes AS (
+        SELECT id, n, sum(s * s) AS square, 1 / sqrt(n) AS u, max(s) AS s1, max(CASE WHEN i = n - 1 THEN s END) AS s2, avg(x) AS centre
+        FROM scored GROUP BY id, n),
+    ends AS (
+        SELECT *, {_horner(normality.OUTERMOST, "u")} + s1 / sqrt(square) AS a1, {_horner(normality.SECOND, "u")} + s2 / sqrt(square) AS a2
+        FROM sizes),
+    weighted AS (
+        SELECT c.id, c.n, c.x, e.centre,
+               CASE WHEN i = n THEN a1 WHEN i = n - 1 THEN a2 WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2
+                    ELSE s / sqrt((square - 2 * s1 * s1 - 2 * s2 * s2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a
+        FROM scored c JOIN (SELECT * EXCLUDE (n) FROM ends) e ON e.id = c.id),
+    tested AS (
+        SELECT id, least(1.0, pow(sum(a * x), 2) / sum((x - centre) * (x - centre))) AS w, ln(max(n)) AS l FROM weighted GROUP BY id),
+    turned AS (
+        SELECT id, (ln(1 - w) - {_horner(normality.LARGE_MEAN, "l")}) / exp({_horner(normality.LARGE_SIGMA, "l")}) AS z FROM tested),
+    tails AS (
+        SELECT id, z, (1 - sum(exp((k + 0.5::DOUBLE) * ln(z * z / 2) - z * z / 2 - lgamma(k + 1.5::DOUBLE)))) / 2 AS half
+        FROM turned, range(0, 2000) r(k) GROUP BY id, z)
+    SELECT id AS series_id, 'level' AS model, CASE WHEN z >= 0 THEN greatest(half, 0) ELSE 1 - greatest(half, 0) END AS shapiro_p FROM tails"""
+
 _RATES = f"""WITH {SUMS['payer']}, {SPAN},
     calendar AS (SELECT 1), filled AS (SELECT 1),
     training AS (

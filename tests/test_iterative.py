@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from datetime import date
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from cashtide import Settings
 from cashtide.functions import batch_models
-from cashtide.functions.tails import chi_square_tail, shapiro_wilk
+from cashtide.functions.breaks import change_points
+from cashtide.functions.normality import normal_quantile, normal_tail, shapiro_wilk_p
+from cashtide.functions.tails import chi_square_tail
 from cashtide.operators import iterative, scores
 from cashtide.operators.robust import first_break
 
@@ -63,12 +66,23 @@ def brute_force_breaks(values, penalty, min_size, jump):
     return list(best[1])
 
 
-@pytest.mark.parametrize("seed, penalty", [(0, 1.0), (1, 2.0), (2, 3.0), (3, 0.5)])
-def test_change_points_equal_brute_force(seed, penalty):
-    rng = np.random.default_rng(seed)
-    values = np.concatenate([rng.normal(0, 1, 17), rng.normal(6, 1, 14), rng.normal(2, 1, 19)])
-    got = batch_models.change_points(values, penalty, 2, 5)
-    assert got == brute_force_breaks(values, penalty, 2, 5)
+@pytest.mark.parametrize("penalty, min_size, jump", [(0.5, 2, 5), (1.0, 2, 5), (2.0, 7, 5), (3.0, 2, 4), (1.0, 3, 1)])
+def test_change_points_equal_brute_force(spark, penalty, min_size, jump):
+    rng = np.random.default_rng(int(penalty * 2))
+    longest = 14 if jump == 1 else 50
+    series = [np.concatenate([rng.normal(0, 1, 17), rng.normal(6, 1, 14), rng.normal(2, 1, 19)])[:longest]]
+    series += [rng.normal(0, 1, n) for n in (2, 3, 5, 6, 11)] + [np.full(12, 3.0), np.round(rng.normal(0, 1, longest))]
+    frame = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(series)], "i int, ys array<double>")
+    found = frame.select("i", change_points(frame.ys, penalty, min_size, jump).alias("ends"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for row in found.collect():
+        assert row.ends == brute_force_breaks(series[row.i], penalty, min_size, jump), (row.i, series[row.i])
+
+
+def test_no_values_have_no_change_points(spark):
+    frame = spark.createDataFrame([(1, []), (2, None), (3, [1.0])], "i int, ys array<double>")
+    rows = frame.select("i", change_points(frame.ys, 1.0, 2, 5).alias("ends")).collect()
+    assert {r.i: r.ends for r in rows} == {1: None, 2: None, 3: []}
 
 
 def test_a_step_is_reported_as_the_last_month_before_it(make_arrays):
@@ -209,14 +223,30 @@ def test_arima_forecast_uses_the_break_month(make_arrays):
     assert facts["break_month"] == date(2019, 3, 1) and facts["nonzero_pct"] == 100
 
 
-def test_shapiro_wilk_published_example():
+def shapiro_of(spark, samples):
+    frame = spark.createDataFrame([(i, None if x is None else [float(v) for v in x]) for i, x in enumerate(samples)], "i int, x array<double>")
+    found = frame.select("i", shapiro_wilk_p(frame.x).alias("p"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    return [r.p for r in found.orderBy("i").collect()]
+
+
+def test_shapiro_wilk_published_example(spark):
     weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    assert shapiro_wilk(np.array(weights, dtype=float)) == pytest.approx(0.006704, abs=2e-4)
     rng = np.random.default_rng(0)
-    assert shapiro_wilk(rng.normal(0, 1, 200)) > 0.05
-    assert shapiro_wilk(rng.exponential(1, 200)) < 1e-6
-    assert shapiro_wilk(np.array([1.0, 2.0])) is None
-    assert shapiro_wilk(np.array([2.0, 2.0, 2.0])) is None
+    samples = [weights, rng.normal(0, 1, 200), rng.exponential(1, 200), [1, 2], [2, 2, 2], None, [], [1, 2, 3], [0, 0, 1]]
+    p = shapiro_of(spark, samples)
+    assert p[0] == pytest.approx(0.006704, abs=2e-4) and p[1] > 0.05 and p[2] < 1e-6
+    assert p[3:7] == [None] * 4
+    # Three values at equal steps are as normal as three can be; two equal ones as little.
+    assert p[7] == pytest.approx(1.0) and p[8] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_normal_quantile_and_tail(spark):
+    points = [1e-12, 1e-5, 0.0249, 0.074, 0.075, 0.2, 0.5, 0.7, 0.925, 0.99999]
+    frame = spark.createDataFrame([(p,) for p in points], "p double")
+    for row in frame.select("p", normal_quantile(frame.p).alias("z")).withColumn("back", 1 - normal_tail(F.col("z"))).collect():
+        assert row.z == pytest.approx(NormalDist().inv_cdf(row.p), rel=1e-12, abs=1e-14)
+        assert row.back == pytest.approx(row.p, rel=1e-3, abs=1e-14)
 
 
 def chi_square_sf(q, df):
