@@ -10,6 +10,7 @@ whose bound is a parameter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,9 @@ WINDOW, STRIDE, WIDTH, FILTERS = 8, 4, 4, 16
 STEP = 512
 CHUNK = STEP + WINDOW
 
-#: Labelled rows a model is fitted on, about, half of them of either label, and bytes of text a
-#: labelled row may have to be chosen. Scoring knows no such bound.
-SAMPLE_ROWS, SAMPLE_BYTES = 1_600, 16_384
+#: Labelled documents a model is fitted on, about, half of them of either label, and chunks that each teaches with:
+#: of a longer one as many as this, one from each of equal stretches of the whole text. Scoring knows no such bound.
+SAMPLE_ROWS, SAMPLE_CHUNKS = 1_600, 32
 
 EPOCHS, BATCH, RATE, MOMENTUM = 8, 16, 0.05, 0.9
 
@@ -94,11 +95,19 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
-    """Fit by gradient descent; a filter learns from the window that won its chunk."""
+def some_chunks(text: bytes, most: int = SAMPLE_CHUNKS) -> np.ndarray:
+    """All chunks of a text, or of a longer one ``most``: one from each of ``most`` equal stretches, drawn by its bytes."""
+    rows = chunks(text)
+    if len(rows) <= most:
+        return rows
+    edges = np.linspace(0, len(rows), most + 1).astype(np.int64)
+    return rows[np.random.default_rng(zlib.crc32(text)).integers(edges[:-1], edges[1:])]
+
+
+def train(cut: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Network:
+    """Fit on the chunks of documents by gradient descent; a filter learns from the window that won its chunk."""
     rng = np.random.default_rng(seed)
     net = Network.random(rng)
-    cut = [chunks(t) for t in texts]
     speed = [np.zeros_like(p) for p in net.parts]
     for epoch in range(EPOCHS):
         order = rng.permutation(len(cut))
@@ -143,20 +152,30 @@ def gradient(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> list[
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Fit on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0 or 1) names.
 
-    The sample takes rows by a hash of their id, about as many of either label; labels without a text, null
-    labels and texts over ``SAMPLE_BYTES`` teach nothing. With one label or none the network scores by what it has.
+    The sample takes ids by a hash, about as many of either label, and of each at most ``SAMPLE_CHUNKS`` chunks, however
+    long its text is; so it is bounded for any ids and texts. An id with several texts teaches the least of
+    them, one with both labels teaches 0; labels without a text and null labels teach nothing. With one
+    label or none the network scores by what it has.
     """
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = dict(marked.groupBy("quality").count().collect())
     chance = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / F.lit(1 << 20)
     share = F.when(F.col("quality") == 1, rows / 2 / max(sizes.get(1, 0), 1)).otherwise(rows / 2 / max(sizes.get(0, 0), 1))
     chosen = marked.where(chance < share)
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = [some_chunks(text.as_py()).tobytes() for text in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(taken, pa.binary())], ["doc_id", "quality", "cut"])
+
     # Only the texts of the sample are moved.
-    near = split_by_ids(short, "doc_id", chosen.select("doc_id"))[0]
-    stored = written(near.join(chosen, "doc_id"), "quality-sample")
-    taught = stored.orderBy("doc_id", "quality", "text").collect()
-    return train([r.text.encode() for r in taught], np.array([r.quality for r in taught], np.float32))
+    near = split_by_ids(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id", chosen.select("doc_id"))[0]
+    one = near.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    kinds = [f"{c} {one.schema[c].dataType.simpleString()}" for c in ("doc_id", "quality")]
+    stored = written(one.mapInArrow(cut, ", ".join([*kinds, "cut binary"])), "quality-sample")
+    taught = stored.orderBy("doc_id").collect()
+    held = [np.frombuffer(r.cut, np.uint8).reshape(-1, CHUNK) for r in taught]
+    return train(held, np.array([r.quality for r in taught], np.float32))
 
 
 def rate(docs: DataFrame, net: Network) -> DataFrame:

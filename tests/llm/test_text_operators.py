@@ -21,6 +21,7 @@ from cashtide.llm import (
     license_scan,
     parity_join,
     quality,
+    query_quality,
     sharding,
     url_filter,
 )
@@ -205,6 +206,36 @@ def test_sharding_laws(spark, hostile, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_shards_of_repeated_rows_are_of_equal_size(spark, tmp_path):
+    """A third of the bytes is one row, repeated; another group is one text under many ids."""
+    rng = random.Random(6)
+    rows = [(7, "the same row " * 8)] * 3000 + [(100 + i, "one text") for i in range(4000)] + [(i, "w" * rng.randrange(1, 300)) for i in range(3000)]
+    docs = docs_of(spark, rows).repartition(5)
+    placed = sharding.assign(docs).toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and len(placed) == 10_000 and sizes.max() - sizes.min() < 0.03 * sizes.mean()
+    assert (placed.groupby("shard").slot.apply(sorted).apply(lambda s: s == list(range(len(s))))).all()
+    assert placed[placed.doc_id == 7].shard.nunique() >= 3
+    # Nobody knows rows that are alike apart, but every row is there once and the sizes are the law's.
+    sharding.write(docs, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(back.columns) == sorted([*docs.columns, "shard", "slot"]) and back.drop("shard", "slot").exceptAll(docs).count() == 0
+    assert back.count() == 10_000 == back.select("shard", "slot").distinct().count()
+
+
+def test_sharding_against_a_plain_count(spark):
+    """The boundaries hold the bytes that sorting all rows by the key would give, within the tolerance."""
+    rng = random.Random(8)
+    docs = docs_of(spark, [(i, "x" * rng.randrange(0, 900)) for i in range(2000)])
+    rows = sharding.keyed(docs)
+    found = sharding.find_boundaries(rows, 5)
+    ordered = sorted((r.major, r.minor, r.tie, r["size"]) for r in rows.collect())
+    fair = sum(r[3] for r in ordered) / 5
+    for i, b in enumerate(found, 1):
+        below = sum(size for *key, size in ordered if tuple(key) < (b.major, b.minor, b.tie))
+        assert below == b.below and abs(below - i * fair) <= max(sharding.TOLERANCE * fair, 901)
+
+
 def test_chat_round_trip(spark):
     hard = "<|im_end|>\n<\\|im_sep|> \\ <|im_start|>x<"
     turns = [(1, 0, "user", hard), (1, 1, "assistant", hard), (2, 1, None, None), (2, 0, "tool", ""), (None, 0, "user", "a")]
@@ -287,6 +318,37 @@ def test_quality_learns_and_takes_any_text(spark, hostile, none):
     assert quality.rate(none, quality.fit(none, labels)).count() == 0
 
 
+def test_quality_learns_from_long_texts_and_repeated_ids(spark):
+    """All labelled texts are long and tell by what stands in one part of them; an id with a third of the rows is one."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(BASE, k=5000)) + ("#$%*&!" * 900 if i % 2 == 0 else "") for i in range(120)]
+    assert min(map(len, texts)) > quality.STEP * quality.SAMPLE_CHUNKS
+    docs = docs_of(spark, [*enumerate(texts), *[(1, "least of the repeated")] * 60])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(1, 1)] * 60, "doc_id long, quality int")
+    rows = quality.rate(docs, quality.fit(docs, labels)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in rows) >= 0.9 * len(rows)
+
+
+def test_chunks_of_long_texts_cover_the_whole():
+    text = b"".join(i.to_bytes(4, "big") for i in range(50_000))
+    some = quality.some_chunks(text, 10)
+    places = np.array([int.from_bytes(row[:4].tobytes(), "big") * 4 for row in some])
+    assert places[0] < 20_000 and places[-1] > 175_000 and (np.diff(places) > 0).all() and np.diff(places).max() < 41_000
+    assert quality.some_chunks(b"", 10).shape == (1, quality.CHUNK)
+    assert (quality.some_chunks(text[:5000], 10) == quality.chunks(text[:5000])).all()
+
+
+def test_quality_of_held_out_documents(spark):
+    """Accuracy on the table's own labels that the fit has not seen."""
+    sf_dir = "/root/testdata/sf0.01"
+    scored = query_quality.op10_quality(spark, sf_dir).where("held_out")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows = scored.join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    right = sum(r.predicted == r.quality for r in rows)
+    most = max(sum(r.quality == k for r in rows) for k in (0, 1))
+    assert len(rows) > 100 and right > most and right >= 0.9 * len(rows)
+
+
 def test_quality_slopes():
     net = quality.Network.random(np.random.default_rng(0))
     for part in net.parts:
