@@ -168,21 +168,32 @@ def ensemble_forecast(
     )
 
 
+def _fact_columns(arrays: DataFrame) -> list[Column]:
+    """Months trained on, rounded share of months with revenue, and the break of a series, where it has one."""
+    nonzero = F.size(F.filter("ys", lambda y: y > 0)) / F.size("ys") * 100
+    break_month = F.col("break_month") if "break_month" in arrays.columns else F.lit(None).cast("date")
+    return [
+        F.size("ys").alias("n_train"),
+        F.round(nonzero, 0).cast("int").alias("nonzero_pct"),
+        break_month.alias("break_month"),
+    ]
+
+
+def series_facts(arrays: DataFrame, settings: Settings) -> DataFrame:
+    """Facts that need no search over orders: months, non-zero share, break and the theta variant. No shuffle."""
+    fitted = theta_fit(arrays, 1, settings)
+    return fitted.select("series_id", *_fact_columns(arrays), F.col("theta.spec").alias("theta_method"))
+
+
 def member_facts(arrays: DataFrame, settings: Settings) -> DataFrame:
     """Selected orders and AICc of every member, with months trained on and non-zero share."""
     rows = spread_out(arrays, "series_id")
     keys = ("series_id",)
     fitted = ets_fit(arima_fit(rows, keys, 1, settings), keys, 1, settings)
     fitted = theta_fit(fitted, 1, settings)
-    nonzero = F.size(F.filter("ys", lambda y: y > 0)) / F.size("ys") * 100
-    break_month = (
-        F.col("break_month") if "break_month" in arrays.columns else F.lit(None).cast("date")
-    )
     return fitted.select(
         "series_id",
-        F.size("ys").alias("n_train"),
-        F.round(nonzero, 0).cast("int").alias("nonzero_pct"),
-        break_month.alias("break_month"),
+        *_fact_columns(arrays),
         F.col("arima.spec").alias("arima_order"),
         F.round("arima.aicc", 1).alias("arima_aicc"),
         F.col("ets.spec").alias("ets_method"),

@@ -72,6 +72,13 @@ def query(layout: str | list[str], name: str | None = None) -> Callable[[Query],
     return register
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written once below the shared folder, as a run stages its tables."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---- shared inputs ---------------------------------------------------------------------------
 
 
@@ -412,7 +419,8 @@ def serve_requests(spark, sf_dir):
 
 @query("series_id prior_mase~4 mase~4 baseline_mase~4 ratio~5 verdict")
 def regression_gate(spark, sf_dir):
-    table = group_evaluation(spark, sf_dir)
+    # The stand-in for the prior run is made from the table too; the backtests below it are run once.
+    table = stored(group_evaluation(spark, sf_dir), "evaluation")
     slot = F.length("series_id") % 3
     prior = table.select(
         "series_id",
@@ -756,6 +764,13 @@ def model_info(spark, sf_dir):
     return iterative.member_facts(category_arrays(spark, sf_dir), DEMO)
 
 
+@query("series_id n_train# nonzero_pct# break_month@ theta_method")
+def model_facts(spark, sf_dir):
+    """What is known of every series and its theta member, without the fitted orders."""
+    arrays = group_arrays(spark, sf_dir).join(group_breaks(spark, sf_dir), "series_id", "left")
+    return iterative.series_facts(arrays, DEMO)
+
+
 @query("series_id model train_end# step# month@ y~2 yhat~2 lo80~2 hi80~2")
 def cv_ensemble(spark, sf_dir):
     return iterative.ensemble_backtest(category_arrays(spark, sf_dir), DEMO)
@@ -773,11 +788,8 @@ def forecast_ensemble(spark, sf_dir):
 def evaluation_full(spark, sf_dir):
     """The published evaluation: every model incl. the ensemble, selection and diagnostics."""
     results = revenue_run.backtest_all(category_arrays(spark, sf_dir), DEMO)
-    # Scores, selection and diagnostics read the results; they are written once.
-    path = f"{scratch_dir(spark, 'backtests')}/results"
-    results.write.parquet(path)
-    stored = spark.read.schema(results.schema).parquet(path)
-    return revenue_run.evaluate(stored)
+    # Selection and diagnostics read the scores; they are written once.
+    return revenue_run.evaluate_scored(stored(scores.score_with_residuals(results), "scores"))
 
 
 # ---- provenance and drift --------------------------------------------------------------------

@@ -12,17 +12,19 @@ that another run has published.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashtide.functions.categories import DEFAULT_RULES, StreamRule, stream_of
 from cashtide.operators import backtest, contracts, forecasters, iterative, monthly, outlook
 from cashtide.operators import profiles, robust, scores, selection
 from cashtide.operators.cleaning import amount_or_zero, is_kept, naive_utc
 from cashtide.settings import Settings
-from cashtide.sources import run_log
+from cashtide.sources import charge_feed, run_log, tables
 from cashtide.sources.tables import remove_folder
 
 PIPELINE_VERSION = "1"
@@ -275,6 +277,29 @@ def run(
     return PublishedRun(work.run_id, False, counted["rows"], rows_clean, span["idx"] + 1)
 
 
+def run_from(
+    spark: SparkSession,
+    candidates: Sequence[tuple[str, str]],
+    schema: str | T.StructType,
+    settings: Settings,
+    root: str,
+    code_version: str,
+    fmt: str = "csv",
+    **options,
+) -> PublishedRun:
+    """A run over the first source that exists of ``(label, path)`` candidates, a fresh snapshot before the history.
+
+    The label is recorded as the run's input source. ``schema`` names snapshot columns, those of the charge contract
+    among them; ``options`` are those of :func:`run`.
+    """
+    required = charge_feed.CHARGE_COLUMNS
+    found = tables.read_preferred(spark, candidates, schema, required, fmt)
+    # Every row has the label; the plan knows it without reading one.
+    label = next(name for name, path in candidates if tables.path_exists(spark, path))
+    charges = charge_feed.charges_from_snapshot(found.drop("input_source", "input_path"), label)
+    return run(charges, settings, root, code_version, input_source=label, **options)
+
+
 def _log(work: Workspace, log: str, code_version: str, asked: str, settings: Settings, by: str, facts: dict) -> None:
     record = run_log.run_record(
         work.spark,

@@ -806,6 +806,14 @@ STATEMENTS["theta"] = f"""WITH RECURSIVE {GROUP},
     FROM fits f, range(1, 13) r(step), indices i
     WHERE i.id = f.id AND i.slot = (n + step - 1) % 12"""
 
+STATEMENTS["model_facts"] = f"""WITH {GROUP_FLAGS},
+    variants AS (SELECT DISTINCT series_id, spec FROM ({STATEMENTS["theta"]})),
+    facts AS (
+        SELECT series_id, count(*) AS n_train, round(count(*) FILTER (y > 0) / count(*) * 100, 0) AS nonzero_pct
+        FROM filled GROUP BY 1)
+    SELECT f.series_id, n_train, nonzero_pct, b.break_month, v.spec AS theta_method
+    FROM facts f LEFT JOIN breaks b ON b.series_id = f.series_id LEFT JOIN variants v ON v.series_id = f.series_id"""
+
 # Exact segmentation by dynamic programming over the grid of admissible ends. The kernel is summed
 # per pair of grid cells first, so that a segment's cost is a sum over whole cells.
 STATEMENTS["breaks"] = f"""WITH RECURSIVE {GROUP},

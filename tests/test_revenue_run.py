@@ -210,3 +210,18 @@ def test_the_reduction_counts_what_the_contract_and_the_fingerprint_ask_for(spar
     assert counted["rows"] == report[0].rows == 325
     nothing = charges.limit(0)
     assert revenue_run.inspect(revenue_run.reduced(nothing, SETTINGS), SETTINGS)[0] == run_log.fingerprint_text(nothing)
+
+
+def test_a_run_takes_the_fresh_snapshot_before_the_history(spark, tmp_path):
+    short = Settings(as_of=date(2019, 7, 15), series_start=date(2017, 1, 1), disruption_end=date(2017, 4, 1))
+    names = {"status": "Status", "created": "Created date (UTC)", "amount": "Amount", "currency": "Currency", "description": "Description"}
+    snapshot = history(spark).filter(F.col("created") < "2019-07-01").withColumnsRenamed(names)
+    snapshot.coalesce(1).write.option("header", True).csv(str(tmp_path / "history"))
+    candidates = [("snapshot", str(tmp_path / "absent")), ("history", str(tmp_path / "history"))]
+    schema = "Status string, `Created date (UTC)` timestamp_ntz, Amount double, Currency string, Description string"
+    root = str(tmp_path / "out")
+    outcome = revenue_run.run_from(spark, candidates, schema, short, root, "c1", run_id="r1")
+    assert outcome.rows_in == 135 and outcome.months == 30
+    assert run_log.last_run(spark, f"{root}/runs")["input_source"] == "history"
+    with pytest.raises(FileNotFoundError):
+        revenue_run.run_from(spark, candidates[:1], schema, short, root, "c1")
