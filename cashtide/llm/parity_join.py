@@ -235,7 +235,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     pairs = written(pairs, "parity-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(split_by_ids(docs, "node", wanted)[0].join(wanted, "node"), "parity-texts")
+    # One text for an id, so that repeated rows do not multiply a pair.
+    texts = split_by_ids(docs, "node", wanted)[0].join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
+    texts = written(texts, "parity-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("of_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("of_b"))
     kind = pairs.schema["a"].dataType.simpleString()
