@@ -30,7 +30,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -64,26 +63,28 @@ TILE, ARRAY_BYTES = 512, 1 << 25
 BAND_RATIO = 1.5
 
 
-@lru_cache(None)
-def band_ends() -> tuple[int, ...]:
-    """The largest size of each band."""
+def _band_ends() -> tuple[int, ...]:
     ends = [1]
     while ends[-1] < 1 << 40:
         ends.append(max(ends[-1] + 1, int(ends[-1] * BAND_RATIO)))
     return tuple(ends)
 
 
+#: The largest size of each band. A plain value, so that it travels with the functions that tasks run.
+BAND_ENDS = _band_ends()
+
+
 def bands_of(size: int, percent: int) -> list[int]:
     """The bands a set takes part in: its own, and those below whose largest set it may be like."""
-    bands = [bisect_left(band_ends(), size)]
-    while bands[-1] and size * percent <= 100 * band_ends()[bands[-1] - 1]:
+    bands = [bisect_left(BAND_ENDS, size)]
+    while bands[-1] and size * percent <= 100 * BAND_ENDS[bands[-1] - 1]:
         bands.append(bands[-1] - 1)
     return bands
 
 
 def blocks_of(band: int, percent: int) -> int:
     """One more than the shingles in which two alike sets of this band may differ."""
-    end = band_ends()[band]
+    end = BAND_ENDS[band]
     return differing(end, end * 100 // percent, percent) + 1
 
 
