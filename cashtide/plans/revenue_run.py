@@ -124,12 +124,15 @@ def stage_data(work: Workspace, cells: DataFrame, settings: Settings, by: str =
 
 
 def explore(arrays: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(outlier months, break months): Hampel flags on the STL remainder, and PELT breaks."""
+    """(flagged months, break months): Hampel flags on the STL remainder, and PELT breaks.
+
+    ``outlier`` says which flags count: at most ``settings.most_outliers`` a series, and why others do not is to be seen.
+    """
     flagged = robust.hampel_flags(
         iterative.stl(arrays, settings), value="remainder", n_sigma=robust.PIPELINE_SIGMA
     )
-    outliers = robust.keep_strongest(flagged, value="remainder").filter("outlier")
-    return outliers.select("series_id", "month"), iterative.structural_breaks(arrays)
+    kept = robust.keep_strongest(flagged, "remainder", settings.most_outliers).filter("flagged")
+    return kept.select("series_id", "month", "remainder", "outlier"), iterative.structural_breaks(arrays)
 
 
 def backtest_all(
@@ -189,8 +192,9 @@ def _regressors(work: Workspace, by: str) -> DataFrame:
 def stage_fit(work: Workspace, settings: Settings, by: str = CATEGORY) -> None:
     """Outliers, breaks, and the backtests of every model a series may be given."""
     arrays = work.get("series_arrays")
-    outliers, breaks = explore(arrays, settings)
-    work.put(outliers, "outliers")
+    flagged, breaks = explore(arrays, settings)
+    flagged = work.put(flagged, "flagged_months")
+    work.put(flagged.filter("outlier").select("series_id", "month"), "outliers")
     work.put(breaks, "breaks")
     work.put(backtest_all(arrays, settings, _regressors(work, by)), "backtests")
 

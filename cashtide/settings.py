@@ -19,6 +19,7 @@ class Settings:
     min_train: int = 24
     cv_windows: int = 8
     cv_step: int = 3
+    most_outliers: int = 5  # a series; beyond it only flags among its largest values count
     home_currency: str = "aud"
     streams: tuple[str, ...] = ("league", "recurring", "one_time")
 

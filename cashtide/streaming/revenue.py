@@ -206,11 +206,14 @@ def quarantine_to(
             if not written:  # what other streams commit does not change these rows
                 judged = with_reasons(batch, rules).persist()
                 valid = F.size("reasons") == 0
-                for name, table, rows in ((GOOD, good, judged.where(valid).drop("reasons")), (BAD, bad, judged.where(~valid))):
-                    path = _attempt(table, stream_id, batch_id)
-                    rows.write.parquet(path)
-                    written.append(Part(name, path))
-                judged.unpersist()
+                sinks = (GOOD, good, judged.where(valid).drop("reasons")), (BAD, bad, judged.where(~valid))
+                try:
+                    parts = [Part(name, _attempt(table, stream_id, batch_id)) for name, table, _ in sinks]
+                    for part, (_, _, rows) in zip(parts, sinks, strict=True):
+                        rows.write.parquet(part.path)
+                finally:
+                    judged.unpersist()
+                written.extend(parts)
             return written
 
         _ledger(spark, good).once(stream_id, batch_id, store)

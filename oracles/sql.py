@@ -889,13 +889,16 @@ STATEMENTS["shapiro"] = f"""WITH {GROUP_BACKTEST},
                     ELSE s / sqrt((square - 2 * s1 * s1 - 2 * s2 * s2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a
         FROM scored c JOIN (SELECT * EXCLUDE (n) FROM ends) e ON e.id = c.id),
     tested AS (
-        SELECT id, least(1.0, pow(sum(a * x), 2) / sum((x - centre) * (x - centre))) AS w, ln(max(n)) AS l FROM weighted GROUP BY id),
+        SELECT id, CASE WHEN max(x) > min(x) THEN least(1.0, pow(sum(a * x), 2) / sum((x - centre) * (x - centre))) END AS w,
+               ln(max(n)) AS l FROM weighted GROUP BY id),
     turned AS (
         SELECT id, (ln(1 - w) - {_horner(normality.LARGE_MEAN, "l")}) / exp({_horner(normality.LARGE_SIGMA, "l")}) AS z FROM tested),
     tails AS (
         SELECT id, z, (1 - sum(exp((k + 0.5::DOUBLE) * ln(z * z / 2) - z * z / 2 - lgamma(k + 1.5::DOUBLE)))) / 2 AS half
         FROM turned, range(0, 2000) r(k) GROUP BY id, z)
-    SELECT id AS series_id, 'level' AS model, CASE WHEN z >= 0 THEN greatest(half, 0) ELSE 1 - greatest(half, 0) END AS shapiro_p FROM tails"""
+    SELECT id AS series_id, 'level' AS model,
+           CASE WHEN z IS NULL THEN NULL WHEN z >= 0 THEN greatest(half, 0) ELSE 1 - greatest(half, 0) END AS shapiro_p
+    FROM tails"""
 
 _RATES = f"""WITH {SUMS['payer']}, {SPAN},
     calendar AS (SELECT 1), filled AS (SELECT 1),

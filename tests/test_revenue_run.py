@@ -10,7 +10,7 @@ from conftest import CHARGE_DDL
 from pyspark.sql import functions as F
 
 from cashtide import Settings
-from cashtide.operators import contracts
+from cashtide.operators import backtest, contracts, forecasters, monthly
 from cashtide.operators.contracts import ContractError
 from cashtide.operators.selection import RegressionError
 from cashtide.plans import revenue_run
@@ -36,12 +36,25 @@ def history(spark):
     return spark.createDataFrame(rows, CHARGE_DDL)
 
 
+def executed_plans(spark, since):
+    """Texts of the physical plans of all queries after the first ``since``, and their number."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(since, found.size())], found.size()
+
+
 @pytest.fixture(scope="module")
-def published(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("published"))
-    charges = history(spark)
+def first_run(spark, tmp_path_factory):
+    root, path = (str(tmp_path_factory.mktemp(name)) for name in ("published", "charges"))
+    history(spark).write.mode("overwrite").parquet(path)
+    charges = spark.read.schema(CHARGE_DDL).parquet(path)
+    _, before = executed_plans(spark, 0)
     outcome = revenue_run.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
-    return root, charges, outcome
+    return root, charges, outcome, path, executed_plans(spark, before)[0]
+
+
+@pytest.fixture(scope="module")
+def published(first_run):
+    return first_run[:3]
 
 
 def test_run_counts(published):
@@ -151,21 +164,34 @@ def test_horizons_share_their_beginning(spark, published):
     assert short.exceptAll(long).count() == 0
 
 
-def executed_plans(spark, since):
-    """Texts of the physical plans of all queries after the first ``since``, and their number."""
-    found = spark._jsparkSession.sharedState().statusStore().executionsList()
-    return [found.apply(i).physicalPlanDescription() for i in range(since, found.size())], found.size()
+def test_raw_charges_are_read_once(first_run):
+    *_, path, plans = first_run
+    readers = [p for p in plans if f"[file:{path}]" in p]
+    assert len(readers) == 1 and readers[0].count(f"[file:{path}]") == 1
 
 
-def test_raw_charges_are_read_once(spark, tmp_path):
-    path, root = str(tmp_path / "charges"), str(tmp_path / "out")
-    history(spark).write.parquet(path)
-    charges = spark.read.schema(CHARGE_DDL).parquet(path)
-    _, before = executed_plans(spark, 0)
-    revenue_run.run(charges, SETTINGS, root, code_version="c1", run_id="r1")
-    plans, _ = executed_plans(spark, before)
-    readers = [p for p in plans if f"file:{path}" in p]
-    assert len(readers) == 1 and readers[0].count(f"[file:{path}]") == 1
+def test_stored_series_are_not_moved_again(spark, published):
+    root, _, _ = published
+    arrays = run_log.read_latest(spark, root, "series_arrays")
+    assert arrays.count() == 3
+    frames = [
+        backtest.backtest(arrays, revenue_run.CLOSED_FORM, SETTINGS),
+        forecasters.forecast(arrays, "croston", 24, SETTINGS),
+        monthly.to_long(arrays),
+    ]
+    for frame in frames:
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    long = run_log.read_latest(spark, root, "monthly_long")
+    assert monthly.to_long(arrays).exceptAll(long).count() == 0 and long.count() == 3 * 72
+
+
+def test_flags_that_do_not_count_are_published_too(spark, published):
+    root, _, _ = published
+    flagged = run_log.read_latest(spark, root, "flagged_months")
+    counted = flagged.filter("outlier").select("series_id", "month")
+    assert counted.exceptAll(run_log.read_latest(spark, root, "outliers")).count() == 0
+    assert counted.count() == run_log.read_latest(spark, root, "outliers").count() <= flagged.count()
+    assert all(r["count"] <= SETTINGS.most_outliers for r in counted.groupBy("series_id").count().collect())
 
 
 def rows(spark, root, name):
