@@ -139,7 +139,9 @@ def shard_heaps(lists: DataFrame, block: list[tuple[str, list[tuple[str, int]]]]
     wanted = F.broadcast(lists.sparkSession.createDataFrame([(w,) for w in words], "term string"))
     needed = lists.join(wanted, "term", "left_semi").select(*INDEX_TYPES.names)
     about = lists.where(F.col("term").isNull()).select(*INDEX_TYPES.names)
-    return needed.unionByName(about).groupBy("shard").applyInArrow(search, HEAPS)
+    # Lists are small for the work they make, so their number of tasks must not follow their bytes.
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return needed.unionByName(about).repartition(tasks, "shard").groupBy("shard").applyInArrow(search, HEAPS)
 
 
 def _opened(group: pa.Table) -> tuple[list[int | None], np.ndarray, dict[str, PostingList]]:
