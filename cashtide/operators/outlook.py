@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cashtide.functions.folds import let
 from cashtide.operators import contracts, forecasters
 from cashtide.operators.forecasters import explode_path, last_known_month
 from cashtide.settings import Settings
@@ -187,5 +188,6 @@ def serve(
         return F.when(faults == "", path).otherwise(F.raise_error(told))
 
     answers = asked.withColumn("_months", stored.scalar())
-    answers = answers.withColumn("_path", answer(F.col("_months"))).withColumn("_path", checked(F.col("_path")))
+    # Bound once: the checks read the answer many times.
+    answers = answers.withColumn("_path", let(answer(F.col("_months")), checked))
     return answers.select("request_id", "horizon", "level", *keep, F.inline("_path")), refused
