@@ -31,7 +31,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the row with the largest doc_id stays."""
+    """Exact dedup through the extendible-hash index: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.survivors(docs)
 
 

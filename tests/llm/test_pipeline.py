@@ -8,9 +8,11 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cashtide.llm import exact_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, digest string"
 WORDS = {
@@ -108,3 +110,25 @@ def test_an_empty_corpus_gives_nothing(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{corpus[0]}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_exact_dedup_comes_through_the_index(spark, corpus, monkeypatch):
+    dealt, directory = [], exact_dedup.directory
+
+    def small(hashes, capacity):
+        slots, depth = directory(hashes, 4)
+        dealt.append(slots.count())
+        return slots, depth
+
+    monkeypatch.setattr(exact_dedup, "directory", small)
+    monkeypatch.setattr(exact_dedup, "key_of", lambda text: F.xxhash64(F.length(text) % 50))  # texts that share a hash
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    stage = corpus_pipeline.drop_equal_texts(spark, docs, corpus[0])
+    kept = stage.collect()
+    assert len(dealt) == 1 and dealt[0] > 4
+    newest = {}
+    for r in docs.collect():
+        newest[r.text or ""] = max(newest.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
+    assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in kept) == sorted(newest.items())
+    plan = stage._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [bucket" in plan

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cashtide.llm import (
@@ -84,6 +85,32 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert index.count() == 500
 
 
+def test_the_owner_of_a_bucket_decides_its_chains(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "key_of", lambda text: F.xxhash64(F.length(text) % 40))  # chains of several texts
+    texts = [(i, f"text {i % 90} " + "x" * (i % 70)) for i in range(900)]
+    texts += [(1000 + i, "often") for i in range(200)] + [(None, "lost id"), (None, "lost id"), (3000, None), (3001, "")]
+    docs = docs_of(spark, texts).repartition(3)
+    newest, size = {}, {}
+    for i, text in texts:
+        newest[text or ""] = max(newest.get(text or "", -1), -1 if i is None else i)
+        size[text or ""] = size.get(text or "", 0) + 1
+    rows = docs.select(exact_dedup.key_of(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("row"))
+    found, slots, depth = exact_dedup.entries(rows, capacity=4)
+    owned = found.withColumn("owner", F.spark_partition_id()).collect()
+    assert {r.text: -1 if r.row is None else r.row for r in owned} == newest and len(owned) == len(newest)
+    assert {r.text: r.n_rows for r in owned} == size
+    named = {r.slot: r for r in slots.collect()}
+    assert all(named[(r.key % 2**64) >> (64 - depth)].bucket == r.bucket for r in owned)
+    assert len({r.bucket for r in owned}) > 4 and max(r.n_hashes for r in named.values()) <= 4
+    assert len({(r.bucket, r.owner) for r in owned}) == len({r.bucket for r in owned})
+    classes = exact_dedup.classes(docs, capacity=4).collect()
+    assert len(classes) == len(texts) and max(r.chain for r in classes) > 0
+    wanted = {hashlib.sha256(t.encode()).hexdigest(): (None if i < 0 else i, size[t]) for t, i in newest.items()}
+    assert all((r.keep_id, r.group_size) == wanted[r.text_sha256] for r in classes)
+    # A directory that knows no hash loses no row.
+    assert exact_dedup.addressed(rows, slots.limit(0), depth).count() == len(texts)
+
+
 def test_parity_join_against_brute_force(spark, hostile, none):
     rng = random.Random(7)
     texts = []
